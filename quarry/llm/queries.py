@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import vectors
+from quarry.llm import spam, vectors
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -22,3 +22,13 @@ def p2_search(spark: SparkSession, d: str) -> DataFrame:
     """Ranked neighbours of the stated query set, every id divisible by 50, against all rows."""
     lists = vectors.neighbour_lists(table(spark, d, "embed_vectors")).where(F.col("vec_id") % 50 == 0)
     return lists.select("vec_id", F.posexplode("near").alias("r", "n")).select("vec_id", (F.col("r") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), (-F.col("n.c")).alias("cosine"))
+
+
+@REG.add("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.score_pages(table(spark, d, "documents")).where("is_spam").select("doc_id")
+
+
+@REG.add("p8_scores")
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.score_pages(table(spark, d, "documents"))
