@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import spam, vectors
+from quarry.llm import mixing, packing, spam, vectors
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -32,3 +32,23 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("p8_scores")
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return spam.score_pages(table(spark, d, "documents"))
+
+
+@REG.add("p6_packing")
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"))
+
+
+@REG.add("p6_report")
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p6_packing(spark, d), table(spark, d, "token_budgets"))
+
+
+@REG.add("p7_mix")
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@REG.add("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
