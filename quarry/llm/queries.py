@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, spam, vectors
+from quarry.llm import mixing, names, packing, spam, vectors
 from quarry.plans.registry import Registry
-from quarry.sources.tables import table
+from quarry.sources.tables import latest_papers, table
 
 REG = Registry()
 
@@ -52,3 +53,19 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 @REG.add("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    papers = latest_papers(table(spark, d, "papers"), "kerberos", "authors", "iitd_authors")
+    return names.linked_keys(table(spark, d, "faculty"), papers)
+
+
+@REG.add("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.entity_pairs(_linked(spark, d))
+
+
+@REG.add("p1_entities")
+def p1_entities(spark: SparkSession, d: str) -> DataFrame:
+    """One row per linked key with its entity and the number of the entity's keys."""
+    return _linked(spark, d).withColumn("n_keys", F.count(F.lit(1)).over(W.partitionBy("entity")))
