@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import mixing, names, packing, spam, vectors
 from quarry.plans.registry import Registry
-from quarry.sources.tables import latest_papers, table
+from quarry.sources.tables import paper_key, table
 
 REG = Registry()
 
@@ -56,8 +56,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
-    papers = latest_papers(table(spark, d, "papers"), "kerberos", "authors", "iitd_authors")
-    return names.linked_keys(table(spark, d, "faculty"), papers)
+    papers = table(spark, d, "papers")
+    return names.linked_keys(table(spark, d, "faculty"), papers.select(paper_key(papers).alias("paper_key"), "kerberos", "authors", "iitd_authors"))
 
 
 @REG.add("p1_found")
