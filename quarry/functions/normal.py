@@ -12,7 +12,7 @@ def col(c: str | Column) -> Column:
 
 def norm_key(c: str | Column) -> Column:
     """Trimmed, lower-cased key; blank becomes null."""
-    s = F.lower(F.regexp_replace(col(c), r"^\s+|\s+$", ""))
+    s = F.lower(F.btrim(col(c), F.lit(" \t\n\r\f")))
     return F.when(s != "", s)
 
 
