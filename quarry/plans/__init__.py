@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from quarry.plans import quality
+    from quarry.plans import quality, search
 
-    return [quality.REG]
+    return [quality.REG, search.REG]
