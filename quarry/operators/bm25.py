@@ -61,6 +61,8 @@ def match(tokens: DataFrame, words: list[str], required: int = 1, boosts: dict[s
     A term counts its best field plus ``tie_breaker`` times the others; terms
     add up. No words, or more required than there are, match nothing.
     """
+    if not words:
+        return tokens.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     s = scored(tokens, words, boosts)
     per_term = s.groupBy("doc_id", "term").agg((F.max("score") + tie_breaker * (F.sum("score") - F.max("score"))).alias("score"))
     return per_term.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= required).drop("n")
@@ -105,7 +107,7 @@ def fuzzy_terms(vocab: DataFrame, words: list[str], max_expansions: int = 10) ->
     """
     from pyspark.sql import Window as W
 
-    parts = [vocab.withColumn("word", F.lit(w)).withColumn("d", _swap_or_edits(w)).where(F.col("d") <= edit_allowance(F.lit(len(w)))) for w in words]
+    parts = [vocab.withColumn("word", F.lit(w)).withColumn("d", _swap_or_edits(w)).where(F.col("d") <= edit_allowance(F.lit(len(w)))) for w in words or [""]]
     r = F.row_number().over(W.partitionBy("word").orderBy("d", F.desc("df"), "term"))
     return reduce(DataFrame.unionByName, parts).withColumn("r", r).where(F.col("r") <= max_expansions).select("word", "term", "df", "d", "r")
 
@@ -115,13 +117,13 @@ def suggestions(vocab: DataFrame, words: list[str], top: int = 3) -> DataFrame:
     frequent than the word, by frequency."""
     from pyspark.sql import Window as W
 
-    parts = []
+    parts = [vocab.limit(0).select("term", "df", F.lit(0).alias("d"), F.lit(0).cast("long").alias("own"), F.lit("").alias("word"))]
     for w in words:
         if len(w) < 3:
             continue
         own = vocab.where(F.col("term") == w).agg(F.coalesce(F.max("df"), F.lit(0)).alias("own"))
         near = vocab.where(F.col("term").startswith(w[0]) & (F.col("term") != w)).withColumn("d", _swap_or_edits(w)).where("d <= 2")
-        parts.append(near.join(F.broadcast(own), F.col("df") > F.col("own")).withColumn("word", F.lit(w)))
+        parts.append(near.join(F.broadcast(own), F.col("df") > F.col("own")).withColumn("word", F.lit(w)).select("term", "df", "d", "own", "word"))
     r = F.row_number().over(W.partitionBy("word").orderBy(F.desc("df"), "d", "term"))
     return reduce(DataFrame.unionByName, parts).withColumn("rank", r).where(F.col("rank") <= top).select("word", "term", "df", "d", "rank")
 

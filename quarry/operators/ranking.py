@@ -79,7 +79,7 @@ def overlap_scorer(query: str) -> Callable[[Column], Column]:
     from quarry.functions.text import query_terms, terms
 
     words = query_terms(query)
-    return lambda text: F.size(F.array_intersect(terms(text), F.array(*[F.lit(w) for w in words]))) / float(len(words))
+    return lambda text: F.size(F.array_intersect(terms(text), F.array(*[F.lit(w) for w in words]))) / float(max(1, len(words)))
 
 
 def rerank(window: DataFrame, query: str, scorer: Callable[[Column], Column] | None = None, alpha: float = 0.7, pin: float = 0.3) -> DataFrame:
