@@ -90,7 +90,7 @@ def _targets(targets: DataFrame, total: int) -> DataFrame:
         F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.coalesce("total_ratio", F.lit(1.0)).alias("ratio"),
     ).where("source IS NOT NULL")
     t = t.groupBy("mix_id", "source").agg(F.sum("w").alias("w"), F.max("max_repeats").alias("max_repeats"), F.max("ratio").alias("ratio"))
-    share = F.coalesce(F.col("w") / F.sum("w").over(W.partitionBy("mix_id")), F.lit(0.0))
+    share = F.coalesce(F.try_divide("w", F.sum("w").over(W.partitionBy("mix_id"))), F.lit(0.0))
     return t.withColumn("target_share", share).withColumn("target_tokens", F.round(F.col("target_share") * F.col("ratio") * F.lit(total)).cast("long"))
 
 
@@ -139,7 +139,7 @@ def mix_documents(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABUL
     reached = selection.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats"))
     report = goal.join(reached, ["mix_id", "source"], "left").select(
         "mix_id", "source", F.round("target_share", 9).alias("target_share"), "target_tokens", F.coalesce("t", F.lit(0)).cast("long").alias("actual_tokens"),
-        F.round(F.coalesce(F.col("t") / F.sum("t").over(W.partitionBy("mix_id")), F.lit(0.0)), 9).alias("actual_share"),
+        F.round(F.coalesce(F.try_divide("t", F.sum("t").over(W.partitionBy("mix_id"))), F.lit(0.0)), 9).alias("actual_share"),
         F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), F.coalesce("most_repeats", F.lit(0)).cast("int").alias("most_repeats"),
     )
     return selection, report

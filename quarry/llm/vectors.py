@@ -70,7 +70,8 @@ def _hasher(dim: int, trees: int, seed: int, centre: list[float]):
         planes = _planes(dim, trees, seed)
         for v in batches:
             if len(v):
-                bits = ((_unit(v) - mid) @ planes) > 0
+                # what lies on the common point up to rounding gets one string
+                bits = ((_unit(v) - mid) @ planes) > 1e-5
                 yield pd.Series(list(bits.reshape(len(v), trees, BITS) @ place))
             else:
                 yield pd.Series([], dtype=object)
@@ -113,7 +114,7 @@ def _cell_search(k: int, floor: float):
         if bi != bj:
             found, who = found + best(x[b], ids[b], x[a], ids[a]), np.concatenate([who, ids[b]])
         keep = [i for i, f in enumerate(found) if f]
-        return pd.DataFrame({"rep": who[keep], "near": [found[i] for i in keep]})
+        return pd.DataFrame({"rep": who[keep], "near": pd.Series([found[i] for i in keep], dtype=object)})
 
     return search
 
