@@ -33,20 +33,25 @@ def _is(w: str):
     return lambda t: t == w
 
 
-def field_stats(tokens: DataFrame) -> DataFrame:
-    """``field, n_docs, avgdl``: one row a field, over documents that have the field."""
-    return tokens.where(F.size("ts") > 0).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("avgdl"))
+def corpus_stats(tokens: DataFrame, words: list[str]) -> DataFrame:
+    """``field, term, df, n_docs, avgdl`` in one pass: a row a field and term, bounded by the query.
+
+    A field counts the documents that have it.
+    """
+    size = F.size("ts")
+    has = [F.count(F.when(F.array_contains("ts", w), 1)).alias(f"df{i}") for i, w in enumerate(words)]
+    wide = tokens.groupBy("field").agg(F.count(F.when(size > 0, 1)).alias("n_docs"), F.avg(F.when(size > 0, size)).alias("avgdl"), *has)
+    tall = F.explode(F.array(*[F.struct(F.lit(w).alias("term"), F.col(f"df{i}").alias("df")) for i, w in enumerate(words)]))
+    return wide.select("field", "n_docs", "avgdl", tall.alias("t")).select("field", "t.term", "t.df", "n_docs", "avgdl").where("df > 0")
 
 
 def scored(tokens: DataFrame, words: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, field, term, score``: boosted BM25 of every matching (document, field, term).
 
-    Statistics are one row a field and one a (field, term), bounded by the
-    query, so they are broadcast.
+    The statistics are a handful of rows, bounded by the query's terms and the
+    fields, so they are broadcast.
     """
-    p = postings(tokens, words)
-    df = p.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    x = p.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(field_stats(tokens)), "field")
+    x = postings(tokens, words).join(F.broadcast(corpus_stats(tokens, words)), ["field", "term"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     boost = F.lit(1.0)
