@@ -140,3 +140,14 @@ def top_k(scored_docs: DataFrame, k: int, offset: int = 0, digits: int = 6) -> D
     s = scored_docs.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(offset + k)
     ranked = s.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") > offset).select("rank", "doc_id", "score")
+
+
+def two_tier(tokens: DataFrame, words: list[str]) -> tuple[DataFrame, str]:
+    """``doc_id`` of phrase matches and "phrase"; only where there is none, of documents with all words and "terms"."""
+    phrase = tokens.where(phrase_at(F.col("ts"), words)).select("doc_id").distinct()
+    if words and not phrase.isEmpty():
+        return phrase, "phrase"
+    every = F.lit(bool(words))
+    for w in words:
+        every = every & F.array_contains("ts", w)
+    return tokens.where(every).select("doc_id").distinct(), "terms"

@@ -57,3 +57,10 @@ def title_overlap(pairs_on: DataFrame, field: str, doc_id: str, ts: str, thresho
     y = cand.join(t.withColumnsRenamed({"id": "a", "t": "ta"}), "a").join(t.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
     j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
     return y.withColumn("jaccard", F.round(j, 6)).where(j >= threshold).select("a", "b", "jaccard")
+
+
+def calibrate(run: DataFrame, judged: DataFrame, depth: int = 50) -> DataFrame:
+    """``query_id, doc_id, grade``: judged documents that the run has in its first ``depth``, graded anew by rank (3 to
+    rank 10, 2 to rank 25, else 1). A query none of whose documents is found has no rows."""
+    x = run.where(F.col("rank") <= depth).join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"])
+    return x.select("query_id", "doc_id", F.when(F.col("rank") <= 10, 3).when(F.col("rank") <= 25, 2).otherwise(1).alias("grade"))

@@ -108,3 +108,21 @@ def by_department(experts: DataFrame, departments: DataFrame) -> DataFrame:
     g = g.withColumn("score", F.round(F.col("top") * (1 + 0.1 * F.log2(F.col("people"))), 4)).drop("top")
     other = (F.col("department_name") == "Other").cast("int")
     return g.withColumn("rank", F.row_number().over(W.orderBy(other, F.desc("citations"), F.desc("score"), "department_name")))
+
+
+def author_query(faculty: DataFrame, query: str, limit: int = 25) -> DataFrame:
+    """``expert_id`` of the profiles a name as typed may mean: the first step of the cascade that finds any.
+
+    First and last word as first and last name; the last word as last name; one
+    word as either; the whole text as the full name. Compared trimmed and in
+    lower case; ties by id.
+    """
+    words = query.lower().split()
+    first, last = norm_key("firstname"), norm_key("lastname")
+    full = F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", "firstname", "lastname"), r"\s+", " ")))
+    steps = [(first == words[0]) & (last == words[-1]), last == words[-1]] if len(words) > 1 else [(first == words[0]) | (last == words[0])] if words else []
+    for step in [*steps, full == " ".join(words)]:
+        found = faculty.where(step).select("expert_id")
+        if not found.isEmpty():
+            break
+    return found.orderBy("expert_id").limit(limit)

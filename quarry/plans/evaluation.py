@@ -113,3 +113,15 @@ def sample_by_hash(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of fixed size; which rows it holds depends on the hash, how many does not."""
     s = table(spark, d, "documents").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(50)
     return s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+@REG.add(
+    "calibrated_judgments",
+    f"WITH {_RUN} SELECT query_id, doc_id, CASE WHEN rank <= 10 THEN 3 WHEN rank <= 25 THEN 2 ELSE 1 END AS grade FROM h WHERE grade IS NOT NULL AND rank <= 50",
+)
+def calibrated_judgments(spark: SparkSession, d: str) -> DataFrame:
+    p = latest_papers(table(spark, d, "papers"), "field_associated", "citation_count", "publication_year").where("field_associated IS NOT NULL")
+    w = W.partitionBy("field_associated").orderBy(F.desc_nulls_last("citation_count"), "paper_key")
+    run = p.select(F.col("field_associated").alias("query_id"), F.col("paper_key").alias("doc_id"), F.row_number().over(w).alias("rank"))
+    judged = p.where("publication_year > 2014").select(F.col("field_associated").alias("query_id"), F.col("paper_key").alias("doc_id"))
+    return evaluation.calibrate(run, judged)

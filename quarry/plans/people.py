@@ -256,3 +256,8 @@ def suggest_authors(spark: SparkSession, d: str) -> DataFrame:
     score = 3.0 * F.size(F.filter("ts", lambda t: t == "nisha")) + F.size(F.filter("ts", lambda t: t.startswith("ni"))) + 0.5 * F.log1p(F.coalesce("h_index", F.lit(0))) + 0.2 * F.log10(1 + F.coalesce("citation_count", F.lit(0)))
     best = x.select("expert_id", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "expert_id").limit(8)
     return best.select(F.row_number().over(W.orderBy(F.desc("score"), "expert_id")).alias("rank"), "expert_id", "score")
+
+
+@REG.add("author_query_cascade", f"SELECT expert_id FROM faculty WHERE {S.norm('firstname')} = 'nisha' OR {S.norm('lastname')} = 'nisha' ORDER BY expert_id LIMIT 25")
+def author_query_cascade(spark: SparkSession, d: str) -> DataFrame:
+    return identity.author_query(table(spark, d, "faculty"), " Nisha ")

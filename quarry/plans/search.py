@@ -424,3 +424,14 @@ _register_facets()
 )
 def facet_year_ranges(spark: SparkSession, d: str) -> DataFrame:
     return facets.year_ranges(_hits(spark, d, "publication_year"), "publication_year")
+
+
+@REG.add(
+    "two_tier_documents",
+    f"""WITH {S.DOC_TOKENS}, t1 AS (SELECT doc_id FROM tokens WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' sensor network energy ')),
+    t2 AS (SELECT doc_id FROM tokens WHERE list_contains(ts, 'sensor') AND list_contains(ts, 'network') AND list_contains(ts, 'energy'))
+    SELECT doc_id, 'phrase' AS match_tier FROM t1 UNION ALL SELECT doc_id, 'terms' FROM t2 WHERE NOT EXISTS (SELECT 1 FROM t1)""",
+)
+def two_tier_documents(spark: SparkSession, d: str) -> DataFrame:
+    found, tier = bm25.two_tier(_doc_tokens(spark, d), Q)
+    return found.withColumn("match_tier", F.lit(tier))

@@ -109,3 +109,20 @@ def test_metrics(spark):
     got = {r["query_id"]: r for r in evaluation.metrics(run, judged).collect()}
     assert (got["q"]["recall"], got["q"]["precision"], got["q"]["mrr"]) == (0.5, 0.1, 0.5)
     assert got["none"]["recall"] is None and got["none"]["mrr"] == 0.0 and got["none"]["ndcg"] == 0.0
+
+
+def test_two_tiers(spark):
+    t = tokens(spark, "sensor network", "network of a sensor", None)
+    assert [tuple(r) for r in bm25.two_tier(t, ["sensor", "network"])[0].collect()] == [(0,)]
+    found, tier = bm25.two_tier(t, ["network", "a"])
+    assert tier == "terms" and [r[0] for r in found.collect()] == [1]
+    assert bm25.two_tier(t, [])[0].count() == 0
+
+
+def test_author_query(spark):
+    from quarry.operators.identity import author_query
+
+    f = spark.createDataFrame([("e1", "Ana ", "Bel"), ("e2", "Ana", "Cruz"), ("e3", None, None), ("e4", "Eva Maria", "De La Cruz")], "expert_id string, firstname string, lastname string")
+    ids = lambda q: [r[0] for r in author_query(f, q).collect()]
+    assert ids("ana bel") == ["e1"] and ids("X Cruz") == ["e2"] and ids("ANA") == ["e1", "e2"] and ids("nobody") == [] and ids("") == []
+    assert ids("eva maria de la cruz") == ["e2"]
