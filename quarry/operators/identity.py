@@ -120,8 +120,9 @@ def author_query(faculty: DataFrame, query: str, limit: int = 25) -> DataFrame:
     words = query.lower().split()
     first, last = norm_key("firstname"), norm_key("lastname")
     full = F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", "firstname", "lastname"), r"\s+", " ")))
+    found = faculty.limit(0).select("expert_id")
     steps = [(first == words[0]) & (last == words[-1]), last == words[-1]] if len(words) > 1 else [(first == words[0]) | (last == words[0])] if words else []
-    for step in [*steps, full == " ".join(words)]:
+    for step in [*steps, full == " ".join(words)] if words else []:
         found = faculty.where(step).select("expert_id")
         if not found.isEmpty():
             break
