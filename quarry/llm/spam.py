@@ -2,205 +2,255 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Frequent function words of English, German, French and Spanish.
-FUNCTION_WORDS = frozenset(
-    """
-    the of and a an is are was were be been to in that for with by on at as it we our this these those from or not can
-    which than when how i you they their its has have had but if then also between into under over more most will would
-    should may only one he she his her who what there here about each both such after before during while because
-    der die das und ein eine einen einer ist sind war wird werden den dem des zu im mit von für auf nicht sich auch dass
-    wie wir ob ab um als bei nach durch aus dieser diese wurden wurde hat haben oder aber es er sie
-    le la les un une des du de et est sont au aux dans que qui pour par sur ne pas nous il elle ce cette ont été avec
-    el los las una uno y es son se en por para con del al su este esta si lo
-    """.split()
-)
-
-_BREAK = re.compile(r"(?<=[.!?])[\"')\]]*\s+|\n+")
-_LINK = re.compile(r"https?://|www\.|^\W*[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)+/", re.I)
-_TAG = re.compile(r"^#\w{3,}")
-_ITEM = re.compile(r"[,;|·•›»/]")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_STRIP = ".,;:!?()[]{}\"'|·•›»*"
+_LINES = re.compile(r"\r\n?|\n")
+_END = re.compile(r"[.!?…。।][\"')\]]*$")
+_SENTENCE = re.compile(r"(?<=[.!?…。।])[\"')\]]*\s+")
+_MARK = re.compile(r"[,;|·•›»/:()\[\]<>=]")
+_TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+|[^\w\s]|_")
 
-#: Longest phrase, in words, that counts as one keyword.
-PHRASE = 8
-#: Share of a sentence's words that repeat inside it from which it is stuffed.
+#: Words of the longest piece that is judged as one; longer runs without a sentence end are cut.
+PIECE = 40
+#: Share of a sentence's characters covered by its own repeated substrings from which it is stuffed.
 STUFFED = 0.4
-#: Words without clause structure that need no other sign of a list; no title is as long.
-LONG_LIST = 20
-#: Least share of function words of a clause.
-CLAUSE = 0.12
+#: Share of characters covered by the page's repeated substrings from which text without clauses is a list.
+LISTED = 0.05
+#: Fewest tokens of a substring whose repeats cover characters.
+LEAST = 2
+#: Text without clauses of at most this many words, in one piece, may be a title: its repeats must cover ``TITLE`` of it.
+SHORT, TITLE = 20, 0.3
+#: Words whose parts are remembered.
+MEMO = 1 << 17
 
 
 class SuffixAutomaton:
-    """Suffix automaton of a sequence, online, with occurrence counts.
+    """Suffix automaton of a sequence, online.
 
     ``end[i]`` is the state of the prefix that ends at place i. The substrings
-    of a state are those longer than its link's longest, up to ``length``.
+    of a state are those longer than its link's longest, up to ``length``; they
+    occur more than once exactly if another state links to it (``again``).
     """
 
     def __init__(self, seq: list) -> None:
-        nxt: list[dict] = [{}]
-        link, length, count = [-1], [0], [0]
-        last, end = 0, []
-        for c in seq:
-            cur = len(nxt)
-            nxt.append({})
-            link.append(0)
-            length.append(length[last] + 1)
-            count.append(1)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = cur
-                p = link[p]
-            if p != -1:
-                q = nxt[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
+        # the state of a prefix goes on to the next prefix; that step is not stored, ``at`` is its place
+        most = 2 * len(seq) + 2
+        nxt: list = [None] * most
+        link, length, again, at, end = [0] * most, [0] * most, bytearray(most), [-2] * most, [0] * len(seq)
+        nxt[0], link[0] = {}, -1
+        last, free = 0, 1
+        for i, c in enumerate(seq):
+            cur = free
+            free += 1
+            length[cur], at[cur], end[i] = i + 1, i, cur
+            p = link[last] if last else last
+            while p >= 0:
+                t = nxt[p]
+                if t is not None and c in t:
+                    q = t[c]
+                elif (j := at[p]) >= 0 and seq[j + 1] == c:
+                    q = end[j + 1]
+                else:
+                    if t is None:
+                        nxt[p] = {c: cur}
+                    else:
+                        t[c] = cur
+                    p = link[p]
+                    continue
+                long = length[p] + 1
+                if long == length[q]:
+                    again[q] = 1
                 else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    count.append(0)
-                    while p != -1 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
+                    clone = free
+                    free += 1
+                    t = {} if nxt[q] is None else nxt[q].copy()
+                    if (j := at[q]) >= 0 and j < i:
+                        t[seq[j + 1]] = end[j + 1]
+                    nxt[clone], link[clone], length[clone], again[clone] = t, link[q], long, 1
+                    while p >= 0 and (t := nxt[p]) is not None and t.get(c) == q:
+                        t[c] = clone
                         p = link[p]
-                    link[q] = link[cur] = clone
+                    link[q] = q = clone
+                link[cur] = q
+                break
             last = cur
-            end.append(cur)
-        self.order = sorted(range(len(length)), key=length.__getitem__)
-        for s in reversed(self.order[1:]):
-            count[link[s]] += count[s]
-        count[0] = 0
-        self.link, self.length, self.count, self.end = link, length, count, end
+        self.link, self.length, self.again, self.end = link, length, again, end
+
+    def repeats(self) -> list[int]:
+        """Length of the longest substring that ends at each place and occurs elsewhere too."""
+        link, length, again = self.link, self.length, self.again
+        return [length[s] if again[s] else length[link[s]] for s in self.end]
+
+
+def covered(seq: list, least: int = LEAST) -> bytearray:
+    """Places of ``seq`` covered by its repeated maximal substrings of at least ``least`` elements."""
+    longest = SuffixAutomaton(seq).repeats()
+    n = len(longest)
+    if n > 128:
+        places, k = np.arange(n), np.array(longest)
+        starts = np.where(k >= least, places - k + 1, n)
+        return bytearray(places >= np.minimum.accumulate(starts[::-1])[::-1])
+    out, low = bytearray(n), n
+    for i in range(n - 1, -1, -1):
+        k = longest[i]
+        if k >= least and i - k + 1 < low:
+            low = i - k + 1
+        if i >= low:
+            out[i] = 1
+    return out
 
 
 def segments(text: str) -> list[list[str]]:
-    """Sentences or lines as lists of words."""
-    return [w for s in _BREAK.split(text) if (w := s.split())]
+    """Sentences or lines as lists of words; a line that goes on in lower case is joined, a long run cut into pieces."""
+    runs: list[list[str]] = []
+    open_ = False
+    for line in _LINES.split(text):
+        w = line.split()
+        if not w:
+            open_ = False
+            continue
+        if open_ and w[0][0].islower():
+            runs[-1] += w
+        else:
+            runs.append(w)
+        tail = runs[-1][-1]
+        open_ = len(runs[-1]) >= 6 and not _END.search(tail) and not _MARK.match(tail[-1])
+    out = []
+    for r in runs:
+        for s in _SENTENCE.split(" ".join(r)):
+            w = s.split()
+            out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
+    return [w for w in out if w]
+
+
+class Lexicon:
+    """Parts of words, remembered up to a bound: ``(tokens, marks, short)`` of a word, tokens as small numbers, ``chars`` of a token.
+
+    Tokens are lower-cased runs of letters (also inside CamelCase), numbers, all alike, and single marks.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[str, tuple[tuple[int, ...], int, int]] = {}
+        self.tokens: dict[str, int] = {}
+        self.chars: list[int] = []
+        self.line = self._token("\n")
 
+    def _token(self, t: str) -> int:
+        t = "0" if t.isdigit() else t.lower()
+        n = self.tokens.get(t)
+        if n is None:
+            n = self.tokens[t] = len(self.chars)
+            self.chars.append(len(t))
+        return n
 
-def is_clause(words: list[str], lowered: list[str]) -> bool:
-    """Sentence structure: function words among at least four words, or the outer form of a sentence."""
+    def read(self, words: list[str]) -> list[tuple[tuple[int, ...], int, int]]:
+        known = self.words
+        out = list(map(known.get, words))
+        if None in out:
+            for i, w in enumerate(words):
+                if out[i] is None:
+                    out[i] = known[w] = (tuple(map(self._token, _TOKEN.findall(w))), len(_MARK.findall(w)), int(len(w) < 4 and w.isalpha()))
+        return out
+
+    def fresh(self) -> "Lexicon":
+        """Itself, or an empty one where it has grown too large; between pages only, as tokens are numbers."""
+        return self if len(self.words) < MEMO else Lexicon()
+
+    def size(self, tokens: list[int], places: bytearray | None = None) -> int:
+        """Characters of tokens, or of those at marked places."""
+        return sum(map(self.chars.__getitem__, tokens if places is None else compress(tokens, places)))
+
+
+def is_clause(words: list[str], parts: list[tuple[tuple[int, ...], int, int]]) -> bool:
+    """The form of a sentence, in any language with letters: at least four words, few marks of a list, some words of at most three letters.
+
+    Without a sentence end it takes ten words, hardly a mark and more short words. ``parts`` are what :meth:`Lexicon.read` tells of the words.
+    """
     n = len(words)
     if n < 4:
         return False
-    f = len([w for w in lowered if w in FUNCTION_WORDS])
-    if f >= CLAUSE * n:
-        return True
-    return n >= 6 and words[0][:1].isupper() and words[-1][-1:] in ".!?" and f > 0 and len([w for w in words if _ITEM.search(w)]) * 5 <= n
+    marks, short = sum([r[1] for r in parts]), sum([r[2] for r in parts])
+    if marks * 3 > n:
+        return False
+    if _END.search(words[-1]):
+        return short >= 0.08 * n
+    return n >= 10 and marks * 10 <= n and short >= 0.2 * n
 
 
-def _suspicious(segs: list[list[str]], low: list[list[str]], clause: list[bool]) -> int:
-    """Words of segments that lack clause structure or repeat words enough to be stuffed."""
-    return sum(len(w) for w, x, c in zip(segs, low, clause, strict=True) if not c or (len(w) >= 5 and len(set(x)) <= (1 - STUFFED / 2) * len(w)))
+def is_stuffed(tokens: list[int], lexicon: Lexicon) -> bool:
+    """Its own repeated substrings, or words of more than three letters said three times, cover ``STUFFED`` of its characters."""
+    if len(set(tokens)) > 0.8 * len(tokens):
+        return False
+    places = covered(tokens)
+    often = {t for t, n in Counter(tokens).items() if n > 2 and lexicon.chars[t] > 3}
+    if often:
+        for i, t in enumerate(tokens):
+            if t in often:
+                places[i] = 1
+    return lexicon.size(tokens, places) >= STUFFED * lexicon.size(tokens)
 
 
-def page_scores(text: str | None) -> tuple[int, int, float, int, bool]:
-    """``(words, spam words, share of characters in repeated substrings, list evidence, is a case)``.
+def page_scores(text: str | None, lexicon: Lexicon | None = None) -> tuple[int, int, float, float, bool]:
+    """``(words, spam words, covered share of the page, covered share of what has no clauses, is a case)``.
 
-    A segment is spam if it has no clause structure, or if repeated maximal
-    substrings of the page that come back inside the segment cover at least
-    ``STUFFED`` of its words, or phrases that did so elsewhere on the page do.
-    The page is a case if spam segments hold more than half of its words, at
-    least a quarter lies in segments that lack structure or repeat words
-    themselves, and there is evidence of a list: repeated substrings, links,
-    tags, at least four items or ``LONG_LIST`` words. A page without that quarter needs no automaton.
+    One suffix automaton holds the page's tokens; its repeated maximal
+    substrings cover characters. Segments without the form of a clause are spam if such substrings cover
+    at least ``LISTED`` of their characters together (``TITLE`` for a single short one), a sentence if its own do
+    ``STUFFED`` of its characters. The page is a case if spam holds more than half of its words.
     """
-    text = _INVISIBLE.sub("", text or "")
-    segs = segments(text)
+    lexicon = lexicon or Lexicon()
+    segs = segments(_INVISIBLE.sub("", text or ""))
     total = sum(map(len, segs))
     if not total:
-        return 0, 0, 0.0, 0, False
-    low = [" ".join(w).lower().split() for w in segs]
-    clause = [is_clause(w, x) for w, x in zip(segs, low, strict=True)]
-    if _suspicious(segs, low, clause) * 4 < total:
-        return total, 0, 0.0, 0, False
-
-    words = [w.strip(_STRIP) or w for x in low for w in x]
-    seg_of = [i for i, x in enumerate(low) for _ in x]
-    sam = SuffixAutomaton(words)
-    link, length, count = sam.link, sam.length, sam.count
-    short = [0] * len(length)
-    for s in sam.order[1:]:
-        short[s] = s if count[s] > 1 and length[link[s]] < PHRASE else short[link[s]]
-    n = len(words)
-    begin: dict[int, int] = {}
-    for i, s in enumerate(seg_of):
-        begin.setdefault(s, i)
-    covered, repeated = bytearray(n), bytearray(n)
-    keyword: dict[int, int] = {}
-    seen: dict[int, int] = {}
-    for i in range(n):
-        q = short[sam.end[i]]
-        if q and length[link[q]] + 1 <= PHRASE and length[q] >= 2:
-            m = min(length[q], PHRASE, i + 1)
-            repeated[i - m + 1 : i + 1] = b"\1" * m
-        start = begin[seg_of[i]]
-        while q:
-            m = min(length[q], PHRASE)
-            before = seen.get(q, -1)
-            if m >= 2 and before - m + 1 >= start and before <= i - m and not all(w in FUNCTION_WORDS for w in words[i - m + 1 : i + 1]):
-                covered[i - m + 1 : i + 1] = b"\1" * m
-                covered[before - m + 1 : before + 1] = b"\1" * m
-                keyword[q] = m
-            seen[q] = i
-            q = link[q]
-    for s, x in enumerate(low):
-        for w, c in Counter(words[begin[s] : begin[s] + len(x)]).items():
-            if c >= 3 and w not in FUNCTION_WORDS:
-                for i in range(begin[s], begin[s] + len(x)):
-                    if words[i] == w:
-                        covered[i] = 1
-    if keyword:
-        for i in range(n):
-            q = short[sam.end[i]]
-            while q:
-                m = keyword.get(q, 0)
-                if m and i - m + 1 >= begin[seg_of[i]]:
-                    covered[i - m + 1 : i + 1] = b"\1" * m
-                    break
-                q = link[q]
-
-    spam, items = 0, 0
-    for s, x in enumerate(segs):
-        b, k = begin[s], len(x)
-        if not clause[s]:
-            spam += k
-            items += 1 + sum(1 for w in x if _ITEM.search(w))
-        elif sum(covered[b : b + k]) >= STUFFED * k:
-            spam += k
-    chars = [len(w) for w in words]
-    share = sum(c for c, r in zip(chars, repeated, strict=True) if r) / max(1, sum(chars))
-    marks = sum(1 for x in segs for w in x if _TAG.match(w) or _LINK.search(w))
-    evidence = max(marks, items)
-    return total, spam, share, evidence, spam * 2 > total and (share >= 0.1 or marks >= 3 or items >= 4 or spam >= LONG_LIST)
+        return 0, 0, 0.0, 0.0, False
+    parts = [lexicon.read(w) for w in segs]
+    tokens = [[*chain.from_iterable([r[0] for r in x]), lexicon.line] for x in parts]
+    page = list(chain.from_iterable(tokens))
+    places = covered(page)
+    at = bare = pieces = bare_chars = bare_covered = stuffed = 0
+    for w, x, s in zip(segs, parts, tokens, strict=True):
+        if not is_clause(w, x):
+            bare += len(w)
+            pieces += 1
+            bare_chars += lexicon.size(s)
+            bare_covered += lexicon.size(s, places[at : at + len(s)])
+        elif is_stuffed(s[:-1], lexicon):
+            stuffed += len(w)
+        at += len(s)
+    share = lexicon.size(page, places) / lexicon.size(page)
+    listed = bare_covered / bare_chars if bare_chars else 0.0
+    spam = stuffed + (bare if listed >= (TITLE if pieces == 1 and bare <= SHORT else LISTED) else 0)
+    return total, spam, share, listed, spam * 2 > total
 
 
 def score_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_words, spam_words, repeated_share, list_marks, is_spam``.
+    """One row per document: ``doc_id, n_words, spam_words, repeated_share, listed_share, is_spam``.
 
-    Whole texts are read. Words are runs of non-space characters; null, empty
+    Whole texts are read and every page's automaton is built. Words are runs of non-space characters; null, empty
     and blank texts have none and are no cases. Repeated rows are scored alike.
     No shuffle: pages are scored where they are read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = Lexicon()
+        gc.disable()  # automata have no cycles, and their many small parts set the collector off all the time
         for pdf in batches:
-            rows = [page_scores(t) for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=["n_words", "spam_words", "repeated_share", "list_marks", "is_spam"])
+            rows = [page_scores(t, lexicon := lexicon.fresh()) for t in pdf["text"]]
+            out = pd.DataFrame(rows, columns=["n_words", "spam_words", "repeated_share", "listed_share", "is_spam"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
+        gc.enable()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        run, "doc_id long, n_words long, spam_words long, repeated_share double, list_marks long, is_spam boolean"
+        run, "doc_id long, n_words long, spam_words long, repeated_share double, listed_share double, is_spam boolean"
     )

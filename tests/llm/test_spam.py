@@ -32,25 +32,44 @@ def test_no_cases(text):
     assert not spam.page_scores(text)[4]
 
 
-@pytest.mark.parametrize("seed", range(10))
-def test_automaton_counts_every_substring(seed):
+@pytest.mark.parametrize("seed", range(20))
+def test_repeats_equal_the_definition(seed):
     rnd = random.Random(seed)
-    s = [rnd.choice("abc") for _ in range(30)]
-    sam = spam.SuffixAutomaton(s)
+    s = [rnd.choice("abcde"[: 1 + seed % 5]) for _ in range(60)]
     text = "".join(s)
-    seen = {}
-    for q in sam.order[1:]:
-        end = next(i for i in range(len(s)) if q in chain(sam, sam.end[i]))
-        for n in range(sam.length[sam.link[q]] + 1, sam.length[q] + 1):
-            seen[text[end - n + 1 : end + 1]] = sam.count[q]
-    subs = {text[i:j] for i in range(30) for j in range(i + 1, 31)}
-    assert seen == {x: sum(text.startswith(x, i) for i in range(30)) for x in subs}
-
-
-def chain(sam, q):
-    while q > 0:
-        yield q
-        q = sam.link[q]
+    times = lambda x: sum(text.startswith(x, i) for i in range(len(text)))
+    longest = [max(m for m in range(i + 2) if m == 0 or times(text[i - m + 1 : i + 1]) > 1) for i in range(60)]
+    assert spam.SuffixAutomaton(s).repeats() == longest
+    want = bytearray(60)
+    for i, m in enumerate(longest):
+        if m >= 2:
+            want[i - m + 1 : i + 1] = b"\1" * m
+    assert spam.covered(s) == want
+    # long sequences go another way
+    page = s * 3
+    assert spam.covered(page) == bytearray([1]) * 180 and spam.covered(list(range(200))) == bytearray(200) and spam.covered([]) == bytearray()
+
+
+def test_repeats_decide(monkeypatch):
+    text = "\n".join(f"how to get a loan in {w}" for w in "mumbai delhi pune surat kochi jaipur nagpur".split())
+    assert spam.page_scores(text)[4]
+    # the same form of lines without repeats is no list
+    bare = "granular perovskite index\nurban drone optimiser\nbiochar metric\nrainfall gripper policy\nsoot scheduler"
+    assert not spam.page_scores(bare)[4]
+    monkeypatch.setattr(spam, "covered", lambda s, least=2: bytearray(len(s)))
+    assert not spam.page_scores(text)[4]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Przed obiadem poszli do lasu i nad rzeke. Potem wrocili do domu, a on spal. Nie ma go od lat w tym kraju. " * 9,
+        "the sensor was set\nup at the site and it\nran for two days until the rain\nhad come in and we took it to\nthe lab. Then it ran on.\n" * 5,
+        "we went to the lab and set up the rig then we ran it for an hour and saw that the gap in the seal was too big to use so we had to do it all over " * 4,
+    ],
+)
+def test_prose_of_other_languages_wrapped_or_without_marks(text):
+    assert not spam.page_scores(text)[4]
 
 
 def test_table_keeps_every_row(spark):
