@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import checkpoint
+
 
 def parse(text: Column) -> Column:
     """JSON text as a variant; null where it is not valid JSON."""
@@ -81,109 +84,123 @@ def scalar(v: Column) -> Column:
     return _let(v, body)
 
 
-def merged_schema(records: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Merged schema text of the variant column ``v``, one row per group of ``by``.
+#: Columns of a child row beside the root key, and the field name of an array inside an array.
+ROW_KEY, PARENT_KEY, PLACES, INNER = "row_key", "parent_key", "places", "[]"
 
-    Schemas merge pairwise before the shuffle; fields on whose type records
-    disagree become ``VARIANT``.
-    """
-    return records.groupBy(*(by or [])).agg(F.schema_of_variant_agg("v").alias("schema"))
-
-
-def child_fields(schema: str | None) -> dict[str, str]:
-    """Fields of a merged schema that may hold child records: arrays, objects and mixed types."""
-    if not schema or not schema.startswith("OBJECT<"):
-        return {}
-    out, depth, start, body = {}, 0, 0, schema[len("OBJECT<") : -1]
-    parts = []
-    quoted = False
-    for i, ch in enumerate(body):
-        if ch == "`":
-            quoted = not quoted
-        elif not quoted and ch in "<(":
-            depth += 1
-        elif not quoted and ch in ">)":
-            depth -= 1
-        elif not quoted and ch == "," and depth == 0:
-            parts.append(body[start:i])
-            start = i + 1
-    parts.append(body[start:])
-    for p in parts:
-        name, _, kind = p.strip().partition(": ")
-        if kind.startswith(("ARRAY", "OBJECT", "VARIANT")) or kind in ("STRING",):
-            out[name.strip("`")] = kind
-    return out
 
+def _get(v: Column, field: str) -> Column:
+    if "'" in field:
+        return F.try_variant_get(v, "$", "map<string,variant>")[F.lit(field)]
+    return F.try_variant_get(v, f"$['{field}']", "variant")
 
-@dataclass(frozen=True)
-class Level:
-    """A child table: the field of the parent record and its own children."""
 
-    field: str
-    children: tuple["Level", ...] = ()
+def _is_nested(v: Column) -> Column:
+    """An array or an object, but for the objects by which exporters type a scalar."""
+    return _let(F.schema_of_variant(v), lambda k: k.startswith("ARRAY") | (k.startswith("OBJECT") & ~k.rlike(r"^OBJECT<`?\$\w+`?: [^<,]*>$")))
 
 
-def explode_level(parent: DataFrame, field: str, root: str, place: list[str]) -> DataFrame:
-    """Child records of ``field``: the root key, the parent's places, the own place ``ord_<n>`` and ``v``.
+def field_kinds(level: DataFrame) -> DataFrame:
+    """``path, field, nested`` of all fields of a level's records: nested if any record holds an array or object there.
 
-    Null elements give no row but count in places. Duplicate elements stay apart by place.
+    Strings that hold JSON text count as what they encode. Merged before the shuffle; one row per path and field.
     """
-    n = f"ord_{len(place)}"
-    items = as_list(decode(F.try_variant_get("v", f"$['{field}']", "variant")))
-    return (
-        parent.select(root, *place, F.posexplode(items).alias(n, "v"))
-        .withColumn(n, F.col(n).cast("long"))
-        .withColumn("v", decode(F.col("v")))
-        .where(present(F.col("v")))
-    )
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    named = level.where(_is_kind(F.col("v"), "OBJECT")).select("path", F.explode(fields).alias("field", "x")).where(present(F.col("x")))
+    inner = level.where(_is_kind(F.col("v"), "ARRAY")).select("path", F.lit(INNER).alias("field"), F.lit(True).alias("nested"))
+    return named.select("path", "field", _is_nested(decode(F.col("x"))).alias("nested")).unionByName(inner).groupBy("path", "field").agg(F.max("nested").alias("nested"))
 
 
-def flatten(records: DataFrame, root: str, levels: tuple[Level, ...] | None = None, max_depth: int = 4) -> dict[str, DataFrame]:
-    """Child tables of ``records`` (``root``, ``v`` a variant object), by path.
+@dataclass(frozen=True)
+class FlatTables:
+    """Child rows of nested records and their merged schema.
 
-    ``levels`` states the tree of array fields; without it the tree is inferred:
-    the merged schema of each level's records (one job a level, all tables of a
-    depth at once) names the fields that hold arrays, objects or mixed types in
-    any record, and each becomes a child table, down to ``max_depth``. Every
-    child row carries the root key, the places of its ancestors and its own.
-    Records without the field, null fields and empty lists give no child rows;
-    an empty input gives empty tables.
+    ``rows``: the root key, ``path``, ``row_key``, ``parent_key`` (of the record for children of the record itself), ``places``
+    (of the ancestors and the row itself, zero-based) and the value ``v``. ``fields``: by path (empty text: the
+    records) the fields, and whether they are child tables.
     """
-    out: dict[str, DataFrame] = {}
-    if levels is not None:
 
-        def walk(parent: DataFrame, place: list[str], tree: tuple[Level, ...], prefix: str) -> None:
-            for lv in tree:
-                path = prefix + lv.field
-                out[path] = explode_level(parent, lv.field, root, place)
-                walk(out[path], [*place, f"ord_{len(place)}"], lv.children, path + ".")
-
-        walk(records, [], levels, "")
+    root: str
+    rows: DataFrame
+    fields: dict[str, dict[str, bool]]
+
+    def paths(self) -> list[str]:
+        return sorted(f"{p}.{f}" if p else f for p, fields in self.fields.items() for f, nested in fields.items() if nested)
+
+    def table(self, path: str) -> DataFrame:
+        """The flat table of a path: keys, places ``place_0``, ... and a text column per scalar field (``value`` for plain elements)."""
+        depth = len(self.rows_of(path))
+        scalars = [f for f, nested in self.fields.get(path, {}).items() if not nested]
+        taken = {self.root, ROW_KEY, PARENT_KEY, "value"}
+        name = lambda f: f"{f}_" if f in taken or f.startswith("place_") else f
+        own = F.when(~_is_kind(F.col("v"), "OBJECT") | ~_is_nested(F.col("v")), scalar(F.col("v")))
+        cols = [scalar(decode(_get(F.col("v"), f))).alias(name(f)) for f in sorted(scalars)]
+        places = [F.col(PLACES)[i].alias(f"place_{i}") for i in range(depth)]
+        return self.rows.where(F.col("path") == path).select(self.root, ROW_KEY, PARENT_KEY, *places, own.alias("value"), *cols)
+
+    def rows_of(self, path: str) -> list[str]:
+        """The paths from the outermost child table down to ``path``."""
+        out, known = [], set(self.paths())
+        for i in range(1, len(path) + 1):
+            if path[:i] in known and (i == len(path) or path[i] == "."):
+                out.append(path[:i])
         return out
-    layer = {"": (records, [])}
-    for _ in range(max_depth):
-        tagged = [d.where(_is_kind(F.col("v"), "OBJECT")).select(F.lit(p).alias("path"), "v") for p, (d, _pl) in layer.items()]
-        if not tagged:
-            break
-        schemas = {r["path"]: r["schema"] for r in merged_schema(reduce(DataFrame.unionByName, tagged), ["path"]).collect()}
-        nxt: dict[str, tuple[DataFrame, list[str]]] = {}
-        for p, (d, place) in layer.items():
-            for f, kind in child_fields(schemas.get(p)).items():
-                if kind == "STRING":
-                    continue
-                path = f"{p}.{f}" if p else f
-                out[path] = explode_level(d, f, root, place)
-                nxt[path] = (out[path], [*place, f"ord_{len(place)}"])
-        layer = nxt
-    return out
 
 
-#: The tree of child tables in exported papers. Field names as exported.
-EXPORT_LEVELS = (
-    Level("authors", (Level("author_avaialable_names"),)),
-    Level("iitd_authors"),
-    Level("classification", (Level("topics"),)),
-)
+def flatten(records: DataFrame, root: str) -> FlatTables:
+    """Child tables of ``records`` (``root``, ``v`` a variant object), however deep.
+
+    Level by level the merged schema of the records (:func:`field_kinds`, all
+    tables of a depth at once) names the fields that hold arrays or
+    objects in any record; each is exploded into child rows that carry the root key, the surrogate key of
+    their parent, one of their own and their place. A single value where others have a list is
+    a list of one, JSON text stands for what it encodes, an array inside an array is a child table named ``[]``.
+    It ends where no record has a nested field. Every level is computed once and written.
+
+    Records without the field, null fields and empty lists give no child rows; null elements give none
+    but count in places; repeated elements stay apart by place. An empty input gives no tables. The schema goes to the driver,
+    so field names must not be data.
+    """
+    level = checkpoint(records.select(F.col(root), F.lit("").alias("path"), F.xxhash64(root).alias(ROW_KEY), F.array().cast("array<bigint>").alias(PLACES), "v"))
+    fields: dict[str, dict[str, bool]] = {}
+    levels: list[DataFrame] = []
+    for _ in count():
+        nested = []
+        for r in sorted(field_kinds(level).collect()):
+            fields.setdefault(r["path"], {})[r["field"]] = r["nested"]
+            if r["nested"]:
+                nested.append((r["path"], r["field"]))
+        if not nested:
+            break
+
+        def items(field: str) -> Column:
+            if field == INNER:
+                return F.when(_is_kind(F.col("v"), "ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
+            return as_list(decode(_get(F.col("v"), field)))
+
+        # a record of a path opens only that path's fields
+        lists = F.lit(None)
+        for path in dict.fromkeys(p for p, _ in nested):
+            mine = [F.struct(F.lit(f"{p}.{f}" if p else f).alias("path"), items(f).alias("items")) for p, f in nested if p == path]
+            lists = F.when(F.col("path") == path, F.array(*mine)).otherwise(lists)
+        opened = level.select(root, ROW_KEY, PLACES, F.explode(lists).alias("t")).select(root, F.col(ROW_KEY).alias(PARENT_KEY), PLACES, F.col("t.path").alias("path"), F.posexplode("t.items").alias("n", "v"))
+        rows = opened.select(
+            root, "path", F.xxhash64(PARENT_KEY, "path", "n").alias(ROW_KEY), PARENT_KEY, F.concat(PLACES, F.array(F.col("n").cast("long"))).alias(PLACES), decode(F.col("v")).alias("v")
+        )
+        level = checkpoint(rows.where(present(F.col("v"))))
+        levels.append(level)
+    if not levels:
+        level = level.select(root, "path", ROW_KEY, F.col(ROW_KEY).alias(PARENT_KEY), PLACES, "v").limit(0)
+    return FlatTables(root, reduce(DataFrame.unionByName, levels) if levels else level, fields)
+
+
+#: Child tables of exported papers by path, as exported, with the kind they are reported as and the field of their key (none: the element).
+EXPORT_KINDS = {
+    "authors": ("author", "author_id"),
+    "authors.author_avaialable_names": ("author_name", None),
+    "iitd_authors": ("iitd_author", "kerberos"),
+    "classification": ("classification", "subdomain_id"),
+    "classification.topics": ("topic", None),
+}
 
 #: Envelopes in which export tools wrap a record, outermost first.
 ENVELOPES = ("o", "document")
@@ -199,31 +216,26 @@ CHILD_SCHEMA = T.StructType(
 )
 
 
+def export_tables(exports: DataFrame) -> FlatTables:
+    """Flat tables of ``exports`` (``export_id, payload``). Payloads that are not valid JSON (or null) give no rows."""
+    docs = exports.select("export_id", unwrap(parse(F.col("payload")), ENVELOPES).alias("v")).where(F.col("v").isNotNull())
+    return flatten(docs, "export_id")
+
+
 def export_children(exports: DataFrame) -> DataFrame:
-    """All child records of ``exports`` (``export_id, payload``) in one tagged table.
+    """The child records of ``exports`` named in :data:`EXPORT_KINDS` in one tagged table, read from the inferred flat tables.
 
-    Payloads that are not valid JSON (or null) give no rows. Keys are the plain
+    Keys are the plain
     text of the value, empty text where null or absent. An empty classification
-    object gives no row; its place still counts. The child tables are those of
-    the inferred merged schema; a field that only ever holds JSON text, which
-    the schema shows as a string, is taken from :data:`EXPORT_LEVELS`.
+    object gives no row; its place still counts.
     """
-    docs = exports.select("export_id", unwrap(parse(F.col("payload")), ENVELOPES).alias("v")).where(F.col("v").isNotNull())
-    t = flatten(docs, "export_id", EXPORT_LEVELS) | flatten(docs, "export_id", max_depth=2)
-    none = F.lit(-1).cast("long")
-
-    def rows(kind: str, d: DataFrame, elem: str, sub: Column, key: Column) -> DataFrame:
-        return d.select("export_id", F.lit(kind).alias("child_kind"), F.col(elem).alias("elem_pos"), sub.alias("sub_pos"), key.alias("child_key"))
-
-    def field(name: str) -> Column:
-        return scalar(decode(F.try_variant_get("v", f"$.{name}", "variant")))
-
-    cls = t["classification"].where(~(text_of(F.col("v")) == "{}"))
-    parts = [
-        rows("author", t["authors"], "ord_0", none, field("author_id")),
-        rows("author_name", t["authors.author_avaialable_names"], "ord_0", F.col("ord_1"), scalar(F.col("v"))),
-        rows("iitd_author", t["iitd_authors"], "ord_0", none, field("kerberos")),
-        rows("classification", cls, "ord_0", none, field("subdomain_id")),
-        rows("topic", t["classification.topics"], "ord_0", F.col("ord_1"), scalar(F.col("v"))),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = export_tables(exports).rows
+    kind, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for path, (name, field) in EXPORT_KINDS.items():
+        at = F.col("path") == path
+        kind = F.when(at, F.lit(name)).otherwise(kind)
+        key = F.when(at, scalar(decode(_get(F.col("v"), field))) if field else scalar(F.col("v"))).otherwise(key)
+    rows = rows.where(F.col("path").isin(*EXPORT_KINDS)).where((F.col("path") != "classification") | (text_of(F.col("v")) != "{}"))
+    return rows.select(
+        "export_id", kind.alias("child_kind"), F.col(PLACES)[0].alias("elem_pos"), F.coalesce(F.get(PLACES, F.lit(1)), F.lit(-1).cast("long")).alias("sub_pos"), key.alias("child_key")
+    )

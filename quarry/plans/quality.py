@@ -103,6 +103,68 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return integrity.reference_report(_dangling(spark, d))
 
 
-@REG.add("p5_found")
+def _dec(x: str) -> str:
+    return f"""(CASE WHEN json_type({x}) = 'VARCHAR' AND regexp_matches({x} ->> '$', '^\\s*[\\[{{"]') AND json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON ELSE {x} END)"""
+
+
+def _text(x: str) -> str:
+    tags = ", ".join(f"""{x} ->> '$."{t}"'""" for t in flatten.SCALAR_TAGS)
+    return f"(CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN '' WHEN json_type({x}) = 'OBJECT' THEN coalesce({tags}, {x}::varchar) ELSE coalesce({x} ->> '$', '') END)"
+
+
+def _items(source: str, field: str, keep: str) -> str:
+    """Rows of a list field: places kept, nulls left out."""
+    return f"""SELECT {keep}, pos, {_dec('e')} AS v FROM (
+      SELECT {keep}, unnest(items) AS e, generate_subscripts(items, 1) - 1 AS pos FROM (
+        SELECT {keep}, CASE WHEN l IS NULL OR json_type(l) = 'NULL' THEN [] WHEN json_type(l) = 'ARRAY' THEN json_extract(l, '$[*]') ELSE [l] END AS items
+        FROM (SELECT {keep}, {_dec(f"json_extract(v, '$.{field}')")} AS l FROM {source}))) WHERE e IS NOT NULL AND json_type(e) <> 'NULL'"""
+
+
+def _open(source: str, field: str) -> str:
+    inner = _dec(f"json_extract(v, '$.{field}')")
+    return f"SELECT export_id, CASE WHEN json_type({inner}) = 'OBJECT' THEN {inner} ELSE v END AS v FROM {source}"
+
+
+_EXPORTS = f"""WITH parsed AS (SELECT export_id, {_dec('j')} AS v FROM (SELECT export_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM paper_exports)),
+outer_ AS ({_open('parsed', 'o')}), docs AS ({_open('outer_', 'document')}),
+authors AS ({_items('docs', 'authors', 'export_id')}), staff AS ({_items('docs', 'iitd_authors', 'export_id')}), classes AS ({_items('docs', 'classification', 'export_id')}),
+authors_ AS (SELECT export_id, pos AS elem, v FROM authors), classes_ AS (SELECT export_id, pos AS elem, v FROM classes),
+names AS ({_items('authors_', 'author_avaialable_names', 'export_id, elem')}), topics AS ({_items('classes_', 'topics', 'export_id, elem')})"""
+
+
+def _key(field: str) -> str:
+    return _text(_dec(f"json_extract(v, '$.{field}')"))
+
+
+@REG.add(
+    "p5_found",
+    f"""{_EXPORTS}
+    SELECT export_id, 'author' AS child_kind, pos AS elem_pos, -1::bigint AS sub_pos, {_key('author_id')} AS child_key FROM authors
+    UNION ALL SELECT export_id, 'iitd_author', pos, -1, {_key('kerberos')} FROM staff
+    UNION ALL SELECT export_id, 'classification', pos, -1, {_key('subdomain_id')} FROM classes WHERE v::varchar <> '{{}}'
+    UNION ALL SELECT export_id, 'author_name', elem, pos, {_text('v')} FROM names
+    UNION ALL SELECT export_id, 'topic', elem, pos, {_text('v')} FROM topics""",
+)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.export_children(table(spark, d, "paper_exports"))
+
+
+@REG.add(
+    "p5_author_table",
+    f"""{_EXPORTS} SELECT export_id, pos AS author_pos, {_key('author_id')} AS author_id, {_key('author_position')} AS author_position, {_key('author_name')} AS author_name FROM authors""",
+)
+def p5_author_table(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of the authors with its own columns."""
+    authors = flatten.export_tables(table(spark, d, "paper_exports")).table("authors")
+    return authors.select("export_id", F.col("place_0").alias("author_pos"), "author_id", "author_position", "author_name")
+
+
+@REG.add(
+    "p5_name_parents",
+    f"""{_EXPORTS} SELECT export_id, {_text('n.v')} AS author_name, {_text(_dec("json_extract(a.v, '$.author_id')"))} AS author_id FROM names n JOIN authors a USING (export_id) WHERE a.pos = n.elem""",
+)
+def p5_name_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Names joined to their authors by the surrogate parent key."""
+    t = flatten.export_tables(table(spark, d, "paper_exports"))
+    names = t.table("authors.author_avaialable_names").select("export_id", flatten.PARENT_KEY, F.col("value").alias("author_name"))
+    return names.join(t.table("authors").select(F.col(flatten.ROW_KEY).alias(flatten.PARENT_KEY), "author_id"), flatten.PARENT_KEY).select("export_id", "author_name", "author_id")
