@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -48,7 +50,7 @@ def exact_quantiles(
     until it holds one distinct value. The rounds are logarithmic in the range
     of the values, not in the number of rows.
 
-    Null values and NaN are left out; a key with no value gives no row. Null
+    Null values and NaN are left out, infinite ones are ends of the order; a key with no value gives no row. Null
     keys form a group. Ties need no rule, equal values share a cell. Output:
     ``keys``, ``q``, ``n`` (values counted), ``value``.
     """
@@ -74,7 +76,12 @@ def exact_quantiles(
         bounds = open_.groupBy("_g").agg(F.collect_list(F.struct("q", "lo", "hi")).alias("_b"), F.max("_rows").alias("_rows"))
         joined = split_join(rows, bounds, ["_g"], "_rows")
         cells = joined.select("_g", "_v", "_w", F.explode(F.filter("_b", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))).alias("b"))
-        cell = F.least(F.lit(buckets - 1), F.floor((F.col("_v") - F.col("b.lo")) / (F.col("b.hi") - F.col("b.lo")) * buckets)).cast("int")
+        # the ends have cells of their own, so every round leaves fewer values, however wide the range; infinite ends lie at the largest number
+        big = sys.float_info.max
+        half = lambda c: F.greatest(F.lit(-big), F.least(F.lit(big), c)) / 2
+        lo, hi, v = half(F.col("b.lo")), half(F.col("b.hi")), half(F.col("_v"))
+        inside = F.lit(1) + F.least(F.lit(buckets - 3), F.floor((v - lo) / (hi - lo) * (buckets - 2))).cast("int")
+        cell = F.when(F.col("_v") == F.col("b.lo"), 0).when(F.col("_v") == F.col("b.hi"), buckets - 1).when(hi > lo, inside).otherwise(1)
         hist = cells.groupBy("_g", F.col("b.q").alias("q"), cell.alias("cell")).agg(F.sum("_w").alias("c"), F.min("_v").alias("mn"), F.max("_v").alias("mx"))
         # at most `buckets` rows a group
         cum = hist.withColumn("cum", F.sum("c").over(W.partitionBy("_g", "q").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)))
@@ -87,6 +94,17 @@ def exact_quantiles(
     return out.select(*[F.col("_g")[a].alias(k) for k, a in names.items()], "q", "n", F.col("lo").alias("value"))
 
 
+def key_rows(papers: DataFrame) -> DataFrame:
+    """``field_name, key_value, citation_count, publication_year``: a row per paper and key, keys trimmed and in lower case, blank ones left out, an area once a paper."""
+    areas = F.array_distinct(F.filter(F.transform(F.coalesce("subject_area", F.array().cast("array<string>")), norm_key), lambda x: x.isNotNull()))
+    tags = F.concat(
+        F.array(F.struct(F.lit("kerberos").alias("field_name"), norm_key("kerberos").alias("key_value"))),
+        F.transform(areas, lambda x: F.struct(F.lit("subject_area").alias("field_name"), x.alias("key_value"))),
+    )
+    rows = papers.select("citation_count", "publication_year", F.explode(tags).alias("t"))
+    return rows.select(F.col("t.field_name").alias("field_name"), F.col("t.key_value").alias("key_value"), "citation_count", "publication_year").where(F.col("key_value").isNotNull())
+
+
 def key_profile(papers: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """Papers, citations, years and exact citation quantiles of every key.
 
@@ -98,17 +116,9 @@ def key_profile(papers: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9)) ->
     keeps null quantiles. ``papers`` counts the key's distinct papers and equals
     the sum of its year histogram.
     """
-    areas = F.array_distinct(F.filter(F.transform(F.coalesce("subject_area", F.array().cast("array<string>")), norm_key), lambda x: x.isNotNull()))
-    tags = F.concat(
-        F.array(F.struct(F.lit("kerberos").alias("field_name"), norm_key("kerberos").alias("key_value"))),
-        F.transform(areas, lambda x: F.struct(F.lit("subject_area").alias("field_name"), x.alias("key_value"))),
-    )
-    long = papers.select("paper_key", "citation_count", "publication_year", F.explode(tags).alias("t")).select(
-        F.col("t.field_name").alias("field_name"), F.col("t.key_value").alias("key_value"), "citation_count", "publication_year"
-    ).where(F.col("key_value").isNotNull())
     keys = ["field_name", "key_value"]
     # the finest mergeable histogram of both measures; everything below reads it
-    hist = checkpoint(long.groupBy(*keys, "citation_count", "publication_year").agg(F.count(F.lit(1)).alias("w")))
+    hist = checkpoint(key_rows(papers).groupBy(*keys, "citation_count", "publication_year").agg(F.count(F.lit(1)).alias("w")))
     base = hist.groupBy(*keys).agg(
         F.sum("w").alias("papers"),
         F.coalesce(F.sum(F.col("w") * F.col("citation_count")), F.lit(0)).cast("long").alias("citations"),
@@ -120,6 +130,26 @@ def key_profile(papers: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9)) ->
     return base.join(wide, keys, "left")
 
 
-def heavy_keys(profile: DataFrame, n_papers: int, share: float = 0.03) -> DataFrame:
-    """Keys of :func:`key_profile` that occur in at least ``share`` of all papers."""
-    return profile.where(F.col("papers") >= F.lit(share) * F.lit(n_papers)).select("field_name", "key_value")
+def heavy_keys(rows: DataFrame, n_papers: int, share: float = 0.03, bits: int = 8) -> DataFrame:
+    """``field_name, key_value`` of ``rows`` (:func:`key_rows`) with at least ``share`` of ``n_papers`` rows, by exact selection.
+
+    The hashes of the keys are the values of a histogram. Every round counts the rows of each prefix of
+    ``bits`` more bits; prefixes below the threshold hold no heavy key and are dropped, those with one key are
+    resolved, the others refined. Counts merge before the shuffle, at most ``2 / share`` prefixes of a field
+    go on, and no task holds a key's rows. At most ``64 / bits`` rounds; keys of one full hash are counted apart.
+    """
+    need = max(1, math.ceil(share * n_papers - 1e-9))
+    rows = rows.select("field_name", "key_value", F.xxhash64("key_value").alias("h"))
+    out: list[DataFrame] = []
+    kept = F.lit(True)
+    for depth in range(bits, 65, bits):
+        prefix = F.shiftright("h", 64 - depth)
+        cells = rows.where(kept).groupBy("field_name", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("key_value").alias("key_value"), F.max("key_value").alias("last"))
+        cells = checkpoint(cells.where(F.col("n") >= need))
+        out.append(cells.where("key_value = last").select("field_name", "key_value"))
+        more = [(r["field_name"], r["p"]) for r in cells.where("key_value < last").select("field_name", "p").collect()]
+        if not more:
+            return reduce(DataFrame.unionByName, out)
+        kept = reduce(lambda a, b: a | b, [(F.col("field_name") == f) & (prefix == p) for f, p in more])
+    rest = rows.where(kept).groupBy("field_name", "key_value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    return reduce(DataFrame.unionByName, out).unionByName(rest.select("field_name", "key_value"))

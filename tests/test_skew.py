@@ -57,3 +57,25 @@ def test_components(spark):
         got.setdefault(r["component"], set()).add(r["node"])
     assert sorted(map(sorted, got.values())) == [list(range(41)), [100, 101], list(range(1000, 1031))] and all(c in s for c, s in got.items())
     assert connected_components(spark.createDataFrame([], T.StructType.fromDDL("a long, b long"))).count() == 0
+
+
+def test_exact_quantiles_of_infinite_and_wide_ranges(spark):
+    inf, big = float("inf"), 1.7e308
+    values = [-inf, -inf, -big, -3.0, -1e-300, 0.0, 1e-300, 2.0, big, big, inf, float("nan")]
+    got = skew.exact_quantiles(spark.createDataFrame([("a", v) for v in values] + [("b", inf), ("b", -inf)], "k string, v double"), ["k"], "v", [0.0, 0.2, 0.5, 0.8, 1.0], buckets=4).collect()
+    want = {("a", q): nearest_rank(values[:-1], q) for q in (0.0, 0.2, 0.5, 0.8, 1.0)} | {("b", q): nearest_rank([inf, -inf], q) for q in (0.0, 0.2, 0.5, 0.8, 1.0)}
+    assert {(r["k"], r["q"]): r["value"] for r in got} == want
+
+
+def test_heavy_keys_equal_counting(spark):
+    rnd = random.Random(3)
+    rows = [("kerberos", "hot")] * 400 + [("kerberos", f"k{rnd.randrange(60)}") for _ in range(600)] + [("subject_area", f"a{rnd.randrange(9)}") for _ in range(900)]
+    df = spark.createDataFrame([(f, k, 1, 2000) for f, k in rows], "field_name string, key_value string, citation_count int, publication_year int")
+    n = {}
+    for r in rows:
+        n[r] = n.get(r, 0) + 1
+    for share in (0.0, 0.01, 0.1, 0.4, 0.9):
+        for bits in (1, 8, 64):
+            got = sorted(map(tuple, skew.heavy_keys(df, 1000, share, bits).collect()))
+            assert got == sorted(k for k, c in n.items() if c >= share * 1000), (share, bits)
+    assert skew.heavy_keys(df.limit(0), 0).count() == 0
