@@ -14,6 +14,8 @@ from quarry.session import checkpoint
 
 #: Tokens packed by one task; the number of tasks follows the data.
 SHARD_TOKENS = 1 << 22
+#: Items packed by one task, however few tokens they have.
+SHARD_ITEMS = 1 << 16
 #: Budgets of one run at most.
 MOST_BUDGETS = 1000
 #: Containers filled to this share are closed; the items of the others are packed once more across shards.
@@ -74,7 +76,7 @@ def _pack(round_no: int):
 _ITEM = "budget_id int, capacity long, doc_id long, piece long, first_token long, n_tokens long, container_id string, fill long"
 
 
-def pack_documents(docs: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, close: float = CLOSE) -> DataFrame:
+def pack_documents(docs: DataFrame, budgets: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: int = SHARD_TOKENS, close: float = CLOSE, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Containers of every budget: ``budget_id, container_id, doc_id, piece, first_token, n_tokens``.
 
     ``docs``: ``doc_id`` (unique), ``text``; ``budgets``: ``budget_id,
@@ -85,12 +87,13 @@ def pack_documents(docs: DataFrame, budgets: DataFrame, vocabulary: str = VOCABU
     out once per budget, or once per piece.
 
     Documents are spread over shards by a hash of their id, a shard holding
-    about ``shard_tokens`` tokens at any data size; each shard packs by itself,
+    about ``shard_tokens`` tokens and at most about ``shard_items`` items at any data size; each shard packs by itself,
     and the items of containers filled below ``close`` are packed again across
     fewer shards, as long as that at least halves what is left over.
     """
     sized = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count("text", vocabulary).alias("n")))
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    all_ = sized.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("c")).first()
+    total = all_["t"] or 0
     # budgets are parameters: a list of bounded size, spread over the documents as literals
     cap = budgets.where("capacity_tokens > 0").select(F.col("budget_id").cast("int"), F.col("capacity_tokens").cast("long")).distinct().limit(MOST_BUDGETS + 1).collect()
     if len(cap) > MOST_BUDGETS:
@@ -107,21 +110,23 @@ def pack_documents(docs: DataFrame, budgets: DataFrame, vocabulary: str = VOCABU
         "budget_id", "capacity", "doc_id", whole.cast("long").alias("piece"), (whole * F.col("capacity")).cast("long").alias("first_token"), (F.col("n") % F.col("capacity")).alias("n_tokens")
     )
     done = [full]
-    left, left_tokens, round_no = rest, total, 0
+    left, left_tokens, left_items, round_no = rest, total, all_["c"], 0
     while True:
-        shards = max(1, -(-left_tokens // shard_tokens))
+        shards = max(1, -(-left_tokens // shard_tokens), -(-left_items // shard_items))
         packed = checkpoint(
             left.withColumn("shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(round_no)), F.lit(shards)).cast("int"))
             .groupBy("budget_id", "shard")
             .applyInPandas(_pack(round_no), _ITEM)
         )
         poor = F.col("fill") < F.col("capacity") * close
-        again = (packed.where(poor).groupBy("budget_id").agg(F.sum("n_tokens").alias("t")).agg(F.max("t")).first()[0] or 0) if shards > 1 else 0
+        per = packed.where(poor).groupBy("budget_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("c"))
+        over = per.agg(F.max("t").alias("t"), F.max("c").alias("c")).first() if shards > 1 else None
+        again, items = ((over["t"] or 0), (over["c"] or 0)) if over else (0, 0)
         if again == 0 or again * 2 > left_tokens:
             done.append(packed)
             break
         done.append(packed.where(~poor))
-        left, left_tokens, round_no = packed.where(poor).drop("container_id", "fill"), again, round_no + 1
+        left, left_tokens, left_items, round_no = packed.where(poor).drop("container_id", "fill"), again, items, round_no + 1
     return reduce(DataFrame.unionByName, done).select("budget_id", "container_id", "doc_id", "piece", "first_token", "n_tokens")
 
 

@@ -52,3 +52,14 @@ def test_documents_whole_or_split(spark):
     report = {r["budget_id"]: r for r in P.packing_report(P.pack_documents(docs, budgets), budgets.distinct()).collect()}
     assert report[1]["tokens"] == sum(n) and report[1]["containers"] >= report[1]["least_containers"]
     assert P.pack_documents(docs.limit(0), budgets).count() == 0 and P.pack_documents(docs, budgets.where(F.lit(False))).count() == 0
+
+
+def test_many_empty_texts_are_spread(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "" if i % 50 else "one two three") for i in range(1000)], "doc_id long, text string")
+    budgets = spark.createDataFrame([(1, 8)], "budget_id int, capacity_tokens int")
+    packed = P.pack_documents(docs, budgets, shard_items=100).collect()
+    assert sorted(r["doc_id"] for r in packed) == list(range(1000))
+    per = {}
+    for r in packed:
+        per[r["container_id"]] = per.get(r["container_id"], 0) + r["n_tokens"]
+    assert max(per.values()) <= 8 and len({r["container_id"].split("c")[0] for r in packed}) > 1
