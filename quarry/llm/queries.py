@@ -13,12 +13,19 @@ from quarry.sources.tables import paper_key, table
 REG = Registry()
 
 
-@REG.add("p2_found")
+_NEAR = """WITH u AS (SELECT vec_id, list_transform(embeddings, lambda x: x::double) AS v FROM embed_vectors
+  WHERE len(embeddings) = 128 AND len(list_filter(embeddings, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embeddings, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM u),
+s AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 9) AS cosine FROM n a JOIN n b ON a.vec_id <> b.vec_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, other) AS rank FROM s WHERE cosine >= 0.8::double) WHERE rank <= 10)"""
+
+
+@REG.add("p2_found", f"{_NEAR} SELECT DISTINCT least(vec_id, other) AS vec_id_a, greatest(vec_id, other) AS vec_id_b FROM near")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.neighbour_pairs(vectors.neighbour_lists(table(spark, d, "embed_vectors")))
 
 
-@REG.add("p2_search")
+@REG.add("p2_search", f"{_NEAR} SELECT vec_id, rank::int AS rank, other AS neighbour_id, cosine FROM near WHERE vec_id % 50 = 0")
 def p2_search(spark: SparkSession, d: str) -> DataFrame:
     """Ranked neighbours of the stated query set, every id divisible by 50, against all rows."""
     lists = vectors.neighbour_lists(table(spark, d, "embed_vectors")).where(F.col("vec_id") % 50 == 0)
