@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
-_LINES = re.compile(r"\r\n?|\n")
 _END = re.compile(r"[.!?…。।][\"')\]]*$")
-_SENTENCE = re.compile(r"(?<=[.!?…。।])[\"')\]]*\s+")
+_SENTENCE = re.compile(r"[.!?…。।][\"')\]]* ")
 _MARK = re.compile(r"[,;|·•›»/:()\[\]<>=]")
 _TOKEN = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+|[^\w\s]|_")
 
@@ -43,30 +42,36 @@ class SuffixAutomaton:
     """
 
     def __init__(self, seq: list) -> None:
-        # the state of a prefix goes on to the next prefix; that step is not stored, ``at`` is its place
+        # the state of a prefix goes on to the next prefix; that step is kept apart, so most states need no dictionary
         most = 2 * len(seq) + 2
         nxt: list = [None] * most
-        link, length, again, at, end = [0] * most, [0] * most, bytearray(most), [-2] * most, [0] * len(seq)
+        step: list = [None] * most
+        link, length, again, to, end = [0] * most, [0] * most, bytearray(most), [0] * most, []
         nxt[0], link[0] = {}, -1
         last, free = 0, 1
-        for i, c in enumerate(seq):
+        for c in seq:
             cur = free
             free += 1
-            length[cur], at[cur], end[i] = i + 1, i, cur
-            p = link[last] if last else last
+            length[cur] = length[last] + 1
+            if last:
+                step[last], to[last] = c, cur
+                p = link[last]
+            else:
+                p = 0
             while p >= 0:
-                t = nxt[p]
-                if t is not None and c in t:
-                    q = t[c]
-                elif (j := at[p]) >= 0 and seq[j + 1] == c:
-                    q = end[j + 1]
+                if step[p] == c:
+                    q = to[p]
                 else:
+                    t = nxt[p]
                     if t is None:
                         nxt[p] = {c: cur}
-                    else:
+                        p = link[p]
+                        continue
+                    if c not in t:
                         t[c] = cur
-                    p = link[p]
-                    continue
+                        p = link[p]
+                        continue
+                    q = t[c]
                 long = length[p] + 1
                 if long == length[q]:
                     again[q] = 1
@@ -74,8 +79,8 @@ class SuffixAutomaton:
                     clone = free
                     free += 1
                     t = {} if nxt[q] is None else nxt[q].copy()
-                    if (j := at[q]) >= 0 and j < i:
-                        t[seq[j + 1]] = end[j + 1]
+                    if step[q] is not None:
+                        t[step[q]] = to[q]
                     nxt[clone], link[clone], length[clone], again[clone] = t, link[q], long, 1
                     while p >= 0 and (t := nxt[p]) is not None and t.get(c) == q:
                         t[c] = clone
@@ -84,6 +89,7 @@ class SuffixAutomaton:
                 link[cur] = q
                 break
             last = cur
+            end.append(cur)
         self.link, self.length, self.again, self.end = link, length, again, end
 
     def repeats(self) -> list[int]:
@@ -114,7 +120,7 @@ def segments(text: str) -> list[list[str]]:
     """Sentences or lines as lists of words; a line that goes on in lower case is joined, a long run cut into pieces."""
     runs: list[list[str]] = []
     open_ = False
-    for line in _LINES.split(text):
+    for line in text.splitlines():
         w = line.split()
         if not w:
             open_ = False
@@ -127,9 +133,14 @@ def segments(text: str) -> list[list[str]]:
         open_ = len(runs[-1]) >= 6 and not _END.search(tail) and not _MARK.match(tail[-1])
     out = []
     for r in runs:
-        for s in _SENTENCE.split(" ".join(r)):
-            w = s.split()
-            out += [w] if len(w) <= PIECE else [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
+        line, begin = " ".join(r), 0
+        for end in [m.end() for m in _SENTENCE.finditer(line)] + [len(line)]:
+            w = line[begin:end].split()
+            begin = end
+            if len(w) <= PIECE:
+                out.append(w)
+            else:
+                out += [w[i : i + PIECE] for i in range(0, len(w), PIECE)]
     return [w for w in out if w]
 
 
@@ -189,8 +200,6 @@ def is_clause(words: list[str], parts: list[tuple[tuple[int, ...], int, int]]) -
 
 def is_stuffed(tokens: list[int], lexicon: Lexicon) -> bool:
     """Its own repeated substrings, or words of more than three letters said three times, cover ``STUFFED`` of its characters."""
-    if len(set(tokens)) > 0.8 * len(tokens):
-        return False
     places = covered(tokens)
     often = {t for t, n in Counter(tokens).items() if n > 2 and lexicon.chars[t] > 3}
     if often:
@@ -209,25 +218,26 @@ def page_scores(text: str | None, lexicon: Lexicon | None = None) -> tuple[int,
     ``STUFFED`` of its characters. The page is a case if spam holds more than half of its words.
     """
     lexicon = lexicon or Lexicon()
-    segs = segments(_INVISIBLE.sub("", text or ""))
+    text = text or ""
+    segs = segments(text if text.isascii() else _INVISIBLE.sub("", text))
     total = sum(map(len, segs))
     if not total:
         return 0, 0, 0.0, 0.0, False
     parts = [lexicon.read(w) for w in segs]
     tokens = [[*chain.from_iterable([r[0] for r in x]), lexicon.line] for x in parts]
     page = list(chain.from_iterable(tokens))
-    places = covered(page)
+    places, chars = covered(page), list(map(lexicon.chars.__getitem__, page))
     at = bare = pieces = bare_chars = bare_covered = stuffed = 0
     for w, x, s in zip(segs, parts, tokens, strict=True):
         if not is_clause(w, x):
             bare += len(w)
             pieces += 1
-            bare_chars += lexicon.size(s)
-            bare_covered += lexicon.size(s, places[at : at + len(s)])
-        elif is_stuffed(s[:-1], lexicon):
+            bare_chars += sum(chars[at : at + len(s)])
+            bare_covered += sum(compress(chars[at : at + len(s)], places[at : at + len(s)]))
+        elif len(set(s)) <= 0.8 * len(s) and is_stuffed(s[:-1], lexicon):
             stuffed += len(w)
         at += len(s)
-    share = lexicon.size(page, places) / lexicon.size(page)
+    share = sum(compress(chars, places)) / sum(chars)
     listed = bare_covered / bare_chars if bare_chars else 0.0
     spam = stuffed + (bare if listed >= (TITLE if pieces == 1 and bare <= SHORT else LISTED) else 0)
     return total, spam, share, listed, spam * 2 > total
