@@ -18,20 +18,24 @@ STOP_WORDS = (
 
 # American and British spellings of one word.
 SPELLINGS = [
-    ("color", "colour"), ("behavior", "behaviour"), ("center", "centre"), ("fiber", "fibre"), ("meter", "metre"), ("liter", "litre"), ("analyze", "analyse"),
-    ("optimize", "optimise"), ("optimizer", "optimiser"), ("modeling", "modelling"), ("labeling", "labelling"), ("signaling", "signalling"), ("aluminum", "aluminium"),
-    ("sulfur", "sulphur"), ("gray", "grey"), ("catalyze", "catalyse"), ("neighbor", "neighbour"), ("tumor", "tumour"), ("vapor", "vapour"), ("defense", "defence"),
+    ("color", "colour"), ("favor", "favour"), ("honor", "honour"), ("humor", "humour"), ("labor", "labour"), ("neighbor", "neighbour"), ("vapor", "vapour"),
+    ("fiber", "fibre"), ("center", "centre"), ("liter", "litre"), ("meter", "metre"), ("caliber", "calibre"), ("theater", "theatre"), ("defense", "defence"),
+    ("offense", "offence"), ("license", "licence"), ("practice", "practise"), ("analyze", "analyse"), ("catalyze", "catalyse"), ("optimize", "optimise"),
+    ("recognize", "recognise"), ("characterize", "characterise"), ("minimize", "minimise"), ("maximize", "maximise"), ("utilize", "utilise"), ("realize", "realise"),
+    ("organize", "organise"), ("stabilize", "stabilise"), ("polymerize", "polymerise"), ("synthesize", "synthesise"), ("oxidize", "oxidise"), ("ionize", "ionise"),
+    ("polarize", "polarise"), ("crystallize", "crystallise"), ("paralyze", "paralyse"), ("modeling", "modelling"), ("traveling", "travelling"),
+    ("labeling", "labelling"), ("canceling", "cancelling"), ("aluminum", "aluminium"), ("sulfur", "sulphur"), ("aging", "ageing"), ("gray", "grey"),
 ]
 
 
 def terms(c: str | Column) -> Column:
-    """Lower-case runs of letters and digits, in order; null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits of any script, in order; null text has none."""
+    return F.filter(F.split(F.lower(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query in order; stop words do not count unless there is nothing else."""
-    words = list(dict.fromkeys(w for w in re.split(r"[^a-z0-9]+", query.lower()) if w))
+    words = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     return [w for w in words if w not in STOP_WORDS] or words
 
 
@@ -43,13 +47,30 @@ def required_matches(n: int, strict: bool = False) -> int:
 def spelling_variant(word: str) -> str | None:
     """The other spelling of a word or of the word it begins with; the first pair that fits counts."""
     w = word.lower()
-    for a, b in SPELLINGS:
-        for x, y in ((a, b), (b, a)):
-            if w.startswith(x):
-                return y + w[len(x) :]
+    for pair in SPELLINGS:
+        whole = [y for x, y in (pair, pair[::-1]) if w == x] or [y + w[len(x) :] for x, y in (pair, pair[::-1]) if w.startswith(x)]
+        if whole:
+            return whole[0]
     return None
 
 
+def with_variants(words: list[str]) -> dict[str, str]:
+    """Spelling variants of words that are not words themselves, each with the word it stands for."""
+    return {v: w for w in words if (v := spelling_variant(w)) and v not in words}
+
+
+def swapped(word: str) -> list[str]:
+    """The words one swap of adjacent letters away."""
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+
+def edits_to(t: Column, word: str) -> Column:
+    """Edits between a term and a word, a swap of adjacent letters counting as one where it is all that parts them."""
+    d = F.levenshtein(t, F.lit(word))
+    near = swapped(word)
+    return F.when(t.isin(near), F.least(d, F.lit(1))).otherwise(d) if near else d
+
+
 def fold_plural(t: Column) -> Column:
     """Plural-only folding: -ies to -y, -es and -s dropped where that is safe."""
     return (

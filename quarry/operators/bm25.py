@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import edit_allowance, terms
+from quarry.functions.text import edit_allowance, edits_to, terms
 
 # The engine defaults of BM25.
 K1, B = 1.2, 0.75
@@ -60,15 +60,18 @@ def scored(tokens: DataFrame, words: list[str], boosts: dict[str, float] | None
     return x.select("doc_id", "field", "term", (score * boost).alias("score"))
 
 
-def match(tokens: DataFrame, words: list[str], required: int = 1, boosts: dict[str, float] | None = None, tie_breaker: float = 0.3) -> DataFrame:
+def match(tokens: DataFrame, words: list[str], required: int = 1, boosts: dict[str, float] | None = None, tie_breaker: float = 0.3, variants: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, score`` of documents that have at least ``required`` of the terms, in any field.
 
     A term counts its best field plus ``tie_breaker`` times the others; terms
-    add up. No words, or more required than there are, match nothing.
+    add up. ``variants`` maps other spellings to their words: they score, but a
+    word and its variants are one term. No words, or more required than there are, match nothing.
     """
     if not words:
         return tokens.limit(0).select("doc_id", F.lit(0.0).alias("score"))
-    s = scored(tokens, words, boosts)
+    s = scored(tokens, [*words, *(variants or {})], boosts)
+    for v, w in (variants or {}).items():
+        s = s.withColumn("term", F.when(F.col("term") == v, F.lit(w)).otherwise(F.col("term")))
     per_term = s.groupBy("doc_id", "term").agg((F.max("score") + tie_breaker * (F.sum("score") - F.max("score"))).alias("score"))
     return per_term.groupBy("doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= required).drop("n")
 
@@ -98,13 +101,6 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
 
 
-def _swap_or_edits(word: str) -> Column:
-    """Edits between ``term`` and the word where an adjacent swap counts one."""
-    swaps = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
-    d = F.levenshtein("term", F.lit(word))
-    return F.when(F.col("term").isin([w for w in swaps if w != word]), F.least(d, F.lit(1))).otherwise(d)
-
-
 def fuzzy_terms(vocab: DataFrame, words: list[str], max_expansions: int = 10) -> DataFrame:
     """``word, term, df, d``: vocabulary terms within each word's edit allowance, the nearest and most frequent first.
 
@@ -112,7 +108,7 @@ def fuzzy_terms(vocab: DataFrame, words: list[str], max_expansions: int = 10) ->
     """
     from pyspark.sql import Window as W
 
-    parts = [vocab.withColumn("word", F.lit(w)).withColumn("d", _swap_or_edits(w)).where(F.col("d") <= edit_allowance(F.lit(len(w)))) for w in words or [""]]
+    parts = [vocab.withColumn("word", F.lit(w)).withColumn("d", edits_to(F.col("term"), w)).where(F.col("d") <= edit_allowance(F.lit(len(w)))) for w in words or [""]]
     r = F.row_number().over(W.partitionBy("word").orderBy("d", F.desc("df"), "term"))
     return reduce(DataFrame.unionByName, parts).withColumn("r", r).where(F.col("r") <= max_expansions).select("word", "term", "df", "d", "r")
 
@@ -127,7 +123,7 @@ def suggestions(vocab: DataFrame, words: list[str], top: int = 3) -> DataFrame:
         if len(w) < 3:
             continue
         own = vocab.where(F.col("term") == w).agg(F.coalesce(F.max("df"), F.lit(0)).alias("own"))
-        near = vocab.where(F.col("term").startswith(w[0]) & (F.col("term") != w)).withColumn("d", _swap_or_edits(w)).where("d <= 2")
+        near = vocab.where(F.col("term").startswith(w[0]) & (F.col("term") != w)).withColumn("d", edits_to(F.col("term"), w)).where("d <= 2")
         parts.append(near.join(F.broadcast(own), F.col("df") > F.col("own")).withColumn("word", F.lit(w)).select("term", "df", "d", "own", "word"))
     r = F.row_number().over(W.partitionBy("word").orderBy(F.desc("df"), "d", "term"))
     return reduce(DataFrame.unionByName, parts).withColumn("rank", r).where(F.col("rank") <= top).select("word", "term", "df", "d", "rank")

@@ -8,14 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.normal import norm_key
-from quarry.functions.text import edit_allowance, terms
+from quarry.functions.text import edit_allowance, edits_to, terms
 
 SEARCH_FIELDS = ("title", "abstract", "author", "subject", "field")
+# Other names of a field.
+SEARCH_ALIASES = {"subject_area": "subject", "authors": "author", "field_associated": "field"}
 
 
 def normalize_search_in(fields: list[str] | None) -> list[str] | None:
     """Known fields, once each, sorted; none means all fields."""
-    return sorted({f for f in fields or [] if f in SEARCH_FIELDS}) or None
+    return sorted({g for f in fields or [] if (g := SEARCH_ALIASES.get(f, f)) in SEARCH_FIELDS}) or None
 
 
 def drop_unset(filters: dict[str, Any]) -> dict[str, Any]:
@@ -28,7 +30,7 @@ def fuzzy_any(text: str, words: list[str]) -> Column:
     def near(t: Column) -> Column:
         ok = F.lit(False)
         for w in words:
-            ok = ok | (F.levenshtein(t, F.lit(w)) <= edit_allowance(F.lit(len(w))))
+            ok = ok | (edits_to(t, w) <= edit_allowance(F.lit(len(w))))
         return ok
 
     return F.exists(terms(text), near)

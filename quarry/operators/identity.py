@@ -100,7 +100,7 @@ def by_department(experts: DataFrame, departments: DataFrame) -> DataFrame:
     without a known department together as "Other", last.
     """
     d = departments.select(norm_key("department_id").alias("department"), "department_name")
-    x = experts.join(F.broadcast(d), "department", "left").withColumn("department_name", F.coalesce("department_name", F.lit("Other")))
+    x = experts.join(d, "department", "left").withColumn("department_name", F.coalesce("department_name", F.lit("Other")))
     r = F.row_number().over(W.partitionBy("department_name").orderBy(F.desc("score"), "expert_id"))
     g = x.withColumn("r", r).groupBy("department_name").agg(
         F.count(F.lit(1)).alias("people"), F.sum("papers").alias("papers"), F.sum("citations").alias("citations"), F.avg(F.when(F.col("r") <= 3, F.col("score"))).alias("top")

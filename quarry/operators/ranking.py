@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quarry.session import checkpoint
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine in double precision; null for unequal lengths or a zero vector."""
@@ -87,15 +89,15 @@ def rerank(window: DataFrame, query: str, scorer: Callable[[Column], Column] | N
 
     The window is a page-sized cut made before, so ranking it in one task is
     bounded. Text is cut to 1,200 characters for the scorer. A scorer that
-    cannot be built leaves the first-stage order.
+    cannot be built, or fails on a row, leaves the first-stage order: the window is scored and written at once.
     """
     try:
         rr = (scorer or overlap_scorer(query))(F.substring(F.concat_ws("\n", "title", "abstract"), 1, 1200))
+        x = checkpoint(window.withColumn("rr", rr)) if scorer else window.withColumn("rr", rr)
     except Exception:
         return window.withColumn("fused", F.col("score")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "doc_id")))
     q = query.strip().lower()
     pinned = F.when(F.lit(len(q) >= 3) & F.contains(F.lower("title"), F.lit(q)), F.lit(pin)).otherwise(F.lit(0.0))
-    x = window.withColumn("rr", rr)
     x = x.withColumn("fused", F.round(alpha * min_max("rr") + (1 - alpha) * min_max("score") + pinned, 6))
     return x.withColumn("rank", F.row_number().over(W.orderBy(F.desc("fused"), "doc_id"))).drop("rr")
 
@@ -113,21 +115,39 @@ def rerank_page(reranked: DataFrame, raw: DataFrame, k: int, offset: int, per_pa
     return head.unionByName(tail).where((F.col("rank") > offset) & (F.col("rank") <= offset + per_page))
 
 
+# Words that tell a topic in a typed prefix, those that leave it open at the end, and the weights of the evidence.
+TOPIC_WORDS = frozenset("a an and are as at based by for from in into of on or the their to using via with within".split())
+OPEN_ENDS = frozenset("for using of with in on and based via to".split())
+INTENT_WEIGHTS = {"names": 0.30, "shape": 0.12, "found": 0.60, "topic": 0.35}
+
+
 def suggest_intent(
     prefix: str, author_names: set[str], n_authors: int, n_papers: int, best_author: float, best_paper: float,
-    weights: tuple[float, float, float, float] = (0.30, 0.12, 0.60, 0.35), floor: float = 0.6, ceiling: float = 0.4,
+    weights: dict[str, float] = INTENT_WEIGHTS, floor: float = 0.6, ceiling: float = 0.4,
 ) -> tuple[str, float]:
-    """``author``, ``paper`` or ``mixed`` and the score: share of words that are name tokens (the last one as a prefix),
-    the shape of the query, topical words against it, and which side retrieved better. Driver-side over two short lists."""
+    """``author``, ``paper`` or ``mixed`` with its confidence, over two short lists on the driver.
+
+    Evidence for an author: the share of content words that are name words (the last one as a prefix), the shape
+    of a name, and how well authors were found against papers. For a paper: topic words, length, an open end, and
+    how well papers were found. The author's share of all evidence decides; nothing found, or no evidence, is mixed at 0.
+    """
     words = prefix.lower().split()
-    if not words:
-        return "mixed", 0.5
-    known = sum(1 for i, w in enumerate(words) if w in author_names or (i == len(words) - 1 and any(n.startswith(w) for n in author_names)))
-    ratio = known / len(words)
-    shape = 1.0 if len(words) <= 3 and all(w.isalpha() for w in words) else 0.0
-    topic = 1.0 if len(words) > 3 else 0.0
-    total = best_author + best_paper
-    confidence = (best_author / total if total else 0.5) if n_authors or n_papers else 0.5
-    names, form, about, found = weights
-    score = min(1.0, max(0.0, names * ratio + form * shape + found * confidence + about * ratio * (1 - topic)))
-    return ("author" if score >= floor else "paper" if score <= ceiling else "mixed"), round(score, 6)
+    content = [re.sub("[^a-z]", "", w) for w in words if w not in TOPIC_WORDS]
+    n = len(words)
+
+    def is_name(i: int, w: str) -> bool:
+        return w in author_names or (i == len(content) - 1 and len(w) >= 2 and any(x.startswith(w) for x in author_names))
+
+    names = sum(1 for i, w in enumerate(content) if w and is_name(i, w)) / len(content) if content else 0.0
+    initials = any(re.fullmatch(r"[a-z]\.?", w) for w in words)
+    shape = 0.0 if n >= 5 else min(1.0, 0.6 * (1 <= n <= 3) + 0.2 * (n <= 2) + 0.4 * initials)
+    topic = min(1.0, 0.4 * any(w in TOPIC_WORDS for w in words) + 0.4 * (n >= 4) + 0.2 * (n >= 6) + 0.3 * (n > 0 and words[-1] in OPEN_ENDS))
+    author, paper = (best_author if n_authors else 0.0), (best_paper if n_papers else 0.0)
+    found = author + paper
+    for_author = weights["names"] * names + weights["shape"] * shape + weights["found"] * (author / found if found > 0 else 0.0)
+    for_paper = weights["topic"] * topic + weights["found"] * (paper / found if found > 0 else 0.0)
+    total = for_author + for_paper
+    if total <= 0 or not (n_authors or n_papers):
+        return "mixed", 0.0
+    p = for_author / total
+    return ("author" if p >= floor else "paper" if p <= ceiling else "mixed"), int(max(p, 1 - p) * 100 + 0.5) / 100

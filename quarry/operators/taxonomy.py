@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -86,7 +87,7 @@ def dominant_domains(rows: DataFrame, domains: DataFrame, coverage: float = 0.8)
     """``kerberos, domain_id, papers, rank``: a member's domains until ``coverage`` of the papers is reached."""
     names = domains.select(norm_key("domain_id").alias("domain_id"), "node_name")
     n = rows.where("kerberos IS NOT NULL AND faculty_ref IS NOT NULL AND domain_id IS NOT NULL").groupBy("kerberos", "domain_id").agg(F.countDistinct("paper_key").alias("papers"))
-    x = n.join(F.broadcast(names), "domain_id")
+    x = n.join(names, "domain_id")
     w = W.partitionBy("kerberos")
     o = w.orderBy(F.desc("papers"), "node_name", "domain_id")
     x = x.withColumn("rank", F.row_number().over(o)).withColumn("before", F.sum("papers").over(o.rowsBetween(W.unboundedPreceding, 0)) - F.col("papers")).withColumn("total", F.sum("papers").over(w))
@@ -94,10 +95,30 @@ def dominant_domains(rows: DataFrame, domains: DataFrame, coverage: float = 0.8)
 
 
 def unique_slugs(nodes: DataFrame, key: str, name: str) -> DataFrame:
-    """Slugs of names; the second and later of one slug get ``-2``, ``-3`` in order of key. One slug's nodes are few."""
-    s = nodes.select(F.col(key), slugify(name).alias("base"))
-    r = F.row_number().over(W.partitionBy("base").orderBy(key))
-    return s.withColumn("r", r).select(key, F.when(F.col("r") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("r").cast("string"))).alias("slug"))
+    """``key, slug``: slugs of names in order of key; one that is taken gets the first free of ``-2``, ``-3``, ...
+
+    Slugs can only meet where they are equal but for numbers at the end, so each such group is settled by itself.
+    A null name has a null slug.
+    """
+    kind = nodes.schema[key].dataType.simpleString()
+    s = nodes.select(F.col(key).alias("k"), slugify(name).alias("base")).withColumn("stem", F.regexp_replace("base", r"(-?[0-9]+)*$", ""))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
+        used: dict[str, int] = {}
+        out = []
+        for base in pdf["base"]:
+            slug, n = base, used.get(base, 1)
+            while slug is not None and slug in used:
+                n += 1
+                slug = f"{base}-{n}"
+            if slug is not None:
+                used[base] = n  # numbers below are taken
+                used.setdefault(slug, 1)
+            out.append(slug)
+        return pd.DataFrame({key: pdf["k"], "slug": out})
+
+    return s.groupBy("stem").applyInPandas(settle, f"{key} {kind}, slug string")
 
 
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:

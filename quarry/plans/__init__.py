@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def registries() -> list:
-    from quarry.plans import evaluation, people, quality, search, taxonomy
+    from quarry.plans import browse, evaluation, people, quality, search, taxonomy
 
-    return [quality.REG, search.REG, people.REG, taxonomy.REG, evaluation.REG]
+    return [quality.REG, search.REG, people.REG, taxonomy.REG, evaluation.REG, browse.REG]

@@ -209,7 +209,7 @@ def department_resolution(spark: SparkSession, d: str) -> DataFrame:
     by_name = dep.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("by_name"))
     by_code = dep.where("code IS NOT NULL").groupBy("code").agg(F.min("id").alias("by_code"))
     n = table(spark, d, "taxonomy_facet_counts").select("facet_id", norm_key("department_name").alias("name"), norm_key("department_code").alias("code"))
-    return n.join(F.broadcast(by_name), "name", "left").join(F.broadcast(by_code), "code", "left").select("facet_id", F.coalesce("by_name", "by_code").alias("department_id"))
+    return n.join(by_name, "name", "left").join(by_code, "code", "left").select("facet_id", F.coalesce("by_name", "by_code").alias("department_id"))
 
 
 @REG.add(

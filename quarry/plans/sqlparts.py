@@ -8,7 +8,7 @@ def norm(x: str) -> str:
 
 
 def toks(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+    return rf"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
 
 PAPER_KEY = f"coalesce({norm('mongo_id')}, 'delivery:' || delivery_id)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through reliable storage.
 
-    Uses the folder named by ``spark.checkpoint.dir``. Only where that setting
-    is missing (tests on one machine) a temporary folder is set.
+    Uses the folder named by ``spark.checkpoint.dir``. Only on one machine (tests) a temporary
+    folder, removed at the end, stands in for a missing setting; on a cluster that is an error.
     """
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quarry-ckpt-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)

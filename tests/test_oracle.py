@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+EMPTY: set[str] = set()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
@@ -18,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) in ("", "empty")
+    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) == ("empty" if name in EMPTY else "")
 
 
 def test_entry_runs(spark):
