@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import edit_allowance, edits_to, terms
@@ -29,6 +30,30 @@ def postings(tokens: DataFrame, words: list[str]) -> DataFrame:
     return tokens.select("doc_id", "field", F.size("ts").alias("dl"), F.explode(F.filter(hits, lambda h: h["tf"] > 0)).alias("h")).select("doc_id", "field", "h.term", "h.tf", "dl")
 
 
+@dataclass(frozen=True)
+class Index:
+    """Stored postings ``term, doc_id, field, tf, dl``, sorted by term, and ``field, n_docs, avgdl``."""
+
+    postings: DataFrame
+    fields: DataFrame
+
+
+def write_index(tokens: DataFrame, path: str) -> Index:
+    """Postings and statistics of all terms, written once: a query then reads its terms' row groups only.
+
+    Counts merge before the shuffle; the range partitioning by term keeps a frequent term in several files.
+    """
+    counted = tokens.select("doc_id", "field", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "doc_id", "field", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    size = F.size("ts")
+    tokens.groupBy("field").agg(F.count(F.when(size > 0, 1)).alias("n_docs"), F.avg(F.when(size > 0, size)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/fields")
+    return open_index(tokens.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/fields"))
+
+
 def _is(w: str):
     return lambda t: t == w
 
@@ -45,13 +70,18 @@ def corpus_stats(tokens: DataFrame, words: list[str]) -> DataFrame:
     return wide.select("field", "n_docs", "avgdl", tall.alias("t")).select("field", "t.term", "t.df", "n_docs", "avgdl").where("df > 0")
 
 
-def scored(tokens: DataFrame, words: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
+def scored(tokens: DataFrame | Index, words: list[str], boosts: dict[str, float] | None = None) -> DataFrame:
     """``doc_id, field, term, score``: boosted BM25 of every matching (document, field, term).
 
     The statistics are a handful of rows, bounded by the query's terms and the
     fields, so they are broadcast.
     """
-    x = postings(tokens, words).join(F.broadcast(corpus_stats(tokens, words)), ["field", "term"])
+    if isinstance(tokens, Index):
+        found = tokens.postings.where(F.col("term").isin(words))
+        stats = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).join(tokens.fields, "field")
+    else:
+        found, stats = postings(tokens, words), corpus_stats(tokens, words)
+    x = found.join(F.broadcast(stats), ["field", "term"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     boost = F.lit(1.0)
@@ -60,7 +90,7 @@ def scored(tokens: DataFrame, words: list[str], boosts: dict[str, float] | None
     return x.select("doc_id", "field", "term", (score * boost).alias("score"))
 
 
-def match(tokens: DataFrame, words: list[str], required: int = 1, boosts: dict[str, float] | None = None, tie_breaker: float = 0.3, variants: dict[str, str] | None = None) -> DataFrame:
+def match(tokens: DataFrame | Index, words: list[str], required: int = 1, boosts: dict[str, float] | None = None, tie_breaker: float = 0.3, variants: dict[str, str] | None = None) -> DataFrame:
     """``doc_id, score`` of documents that have at least ``required`` of the terms, in any field.
 
     A term counts its best field plus ``tie_breaker`` times the others; terms
@@ -68,7 +98,8 @@ def match(tokens: DataFrame, words: list[str], required: int = 1, boosts: dict[s
     word and its variants are one term. No words, or more required than there are, match nothing.
     """
     if not words:
-        return tokens.limit(0).select("doc_id", F.lit(0.0).alias("score"))
+        of = tokens.postings if isinstance(tokens, Index) else tokens
+        return of.limit(0).select("doc_id", F.lit(0.0).alias("score"))
     s = scored(tokens, [*words, *(variants or {})], boosts)
     for v, w in (variants or {}).items():
         s = s.withColumn("term", F.when(F.col("term") == v, F.lit(w)).otherwise(F.col("term")))

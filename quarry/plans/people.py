@@ -12,7 +12,8 @@ from quarry.operators import bm25, facets, identity
 from quarry.plans import sqlparts as S
 from quarry.plans.registry import Registry
 from quarry.plans.search import BOOST, Q
-from quarry.sources.tables import latest_papers, table
+from quarry.sources.indexes import paper_index, paper_snapshot
+from quarry.sources.tables import table
 
 REG = Registry()
 
@@ -31,13 +32,12 @@ _HITS = f"""WITH {S.PAPER_TOKENS}, {S.scored(Q, BOOST)}, {S.matched(1)}, {_IDS},
 
 
 def _papers(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return latest_papers(table(spark, d, "papers"), *cols)
+    return paper_snapshot(spark, d).select("paper_key", *cols)
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     p = _papers(spark, d, "title", "abstract", "authors", "kerberos", "citation_count")
-    tokens = bm25.analysed(p, "paper_key", {"title": "title", "abstract": "abstract"})
-    return bm25.match(tokens, Q, 1, BOOST).join(p.withColumnRenamed("paper_key", "doc_id"), "doc_id")
+    return bm25.match(paper_index(spark, d), Q, 1, BOOST).join(p.withColumnRenamed("paper_key", "doc_id"), "doc_id")
 
 
 @REG.add("dual_identity_union", f"{_BASE} SELECT * FROM own")

@@ -11,7 +11,8 @@ from quarry.functions.normal import clean, norm_key
 from quarry.operators import bm25, facets, filters, ranking
 from quarry.plans import sqlparts as S
 from quarry.plans.registry import Registry
-from quarry.sources.tables import latest_papers, table
+from quarry.sources.indexes import document_index, paper_index, paper_snapshot
+from quarry.sources.tables import table
 
 REG = Registry()
 Q = ["sensor", "network", "energy"]
@@ -21,7 +22,7 @@ NOW = 2026
 
 
 def _papers(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return latest_papers(table(spark, d, "papers"), *cols)
+    return paper_snapshot(spark, d).select("paper_key", *cols)
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +98,7 @@ def _lexical(name: str, words: list[str], required: int, docs: bool, boosts: dic
     sql = f"WITH {S.DOC_TOKENS if docs else S.PAPER_TOKENS}, {S.scored(words, boosts)}, {S.matched(required)} SELECT * FROM {S.top('m', 20)}"
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return bm25.top_k(bm25.match(_doc_tokens(spark, d) if docs else _paper_tokens(spark, d), words, required, boosts), 20)
+        return bm25.top_k(bm25.match(document_index(spark, d) if docs else paper_index(spark, d), words, required, boosts), 20)
 
     REG.add(name, sql)(run)
 
@@ -117,7 +118,7 @@ _lexical("spelling_variant_or", ["fiber", T.spelling_variant("fiber"), "optimize
 )
 def basic_search_filtered(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(filters.document_filter({"lang": "en", "min_chars": 500, "year_from": 2010})).select("doc_id")
-    return bm25.top_k(bm25.match(_doc_tokens(spark, d), Q, len(Q)).join(docs, "doc_id", "left_semi"), 20)
+    return bm25.top_k(bm25.match(document_index(spark, d), Q, len(Q)).join(docs, "doc_id", "left_semi"), 20)
 
 
 @REG.add("phrase_exact", f"WITH {S.PAPER_TOKENS} SELECT doc_id, field FROM tokens WHERE contains(' ' || array_to_string(ts, ' ') || ' ', ' energy density ')")
@@ -149,7 +150,7 @@ def phrase_prefix(spark: SparkSession, d: str) -> DataFrame:
 def phrase_boost(spark: SparkSession, d: str) -> DataFrame:
     t = _paper_tokens(spark, d)
     bonus = t.where(bm25.phrase_at(F.col("ts"), ["sensor", "network"])).groupBy("doc_id").agg(F.sum(F.when(F.col("field") == "title", 20.0).otherwise(6.0)).alias("bonus"))
-    x = bm25.match(t, ["sensor", "network"], 2, BOOST).join(bonus, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    x = bm25.match(paper_index(spark, d), ["sensor", "network"], 2, BOOST).join(bonus, "doc_id", "left").select("doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
     return bm25.top_k(x, 20)
 
 
@@ -314,7 +315,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 def _arms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
-    return bm25.top_k(bm25.match(_doc_tokens(spark, d), Q), 100), ranking.knn(e, "vec_id", "embedding", ranking.vector_of(e, "vec_id", "embedding", _anchor(spark, d)), 100)
+    return bm25.top_k(bm25.match(document_index(spark, d), Q), 100), ranking.knn(e, "vec_id", "embedding", ranking.vector_of(e, "vec_id", "embedding", _anchor(spark, d)), 100)
 
 
 @REG.add(
@@ -331,7 +332,7 @@ _PAPER_HITS = f"{S.PAPER_TOKENS}, {S.scored(Q, BOOST)}, {S.matched(1)}, hits AS
 
 
 def _hits(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    return bm25.match(_paper_tokens(spark, d), Q, 1, BOOST).join(_papers(spark, d, *cols).withColumnRenamed("paper_key", "doc_id"), "doc_id")
+    return bm25.match(paper_index(spark, d), Q, 1, BOOST).join(_papers(spark, d, *cols).withColumnRenamed("paper_key", "doc_id"), "doc_id")
 
 
 @REG.add(
@@ -356,7 +357,7 @@ def impact_score(spark: SparkSession, d: str) -> DataFrame:
     SELECT row_number() OVER (ORDER BY fused DESC, doc_id) AS rank, doc_id, fused FROM f""",
 )
 def minmax_fusion(spark: SparkSession, d: str) -> DataFrame:
-    window = bm25.top_k(bm25.match(_paper_tokens(spark, d), Q, 1, BOOST), 50).drop("rank")
+    window = bm25.top_k(bm25.match(paper_index(spark, d), Q, 1, BOOST), 50).drop("rank")
     p = _papers(spark, d, "title", "abstract").withColumnRenamed("paper_key", "doc_id")
     return ranking.rerank(window.join(p, "doc_id"), "sensor network").select("rank", "doc_id", "fused")
 
@@ -367,7 +368,7 @@ def minmax_fusion(spark: SparkSession, d: str) -> DataFrame:
     SELECT rank, doc_id FROM head WHERE rank > 40 UNION ALL SELECT rank, doc_id FROM raw WHERE rank > 50 AND rank <= 60""",
 )
 def rerank_page_straddle(spark: SparkSession, d: str) -> DataFrame:
-    raw = bm25.top_k(bm25.match(_paper_tokens(spark, d), Q, 1, BOOST), 60)
+    raw = bm25.top_k(bm25.match(paper_index(spark, d), Q, 1, BOOST), 60)
     head = raw.where("rank <= 50").select("doc_id", F.row_number().over(W.orderBy("doc_id")).alias("rank"))
     return ranking.rerank_page(head, raw, 50, 40, 20)
 
@@ -378,7 +379,7 @@ def rerank_page_straddle(spark: SparkSession, d: str) -> DataFrame:
     SELECT total, 501 AS page, 20 AS per_page, least(ceil(total / 20.0), 500)::bigint AS total_pages, least(total, 50) AS ranked_window, 1 AS count_only FROM t""",
 )
 def deep_page_count(spark: SparkSession, d: str) -> DataFrame:
-    total = bm25.match(_doc_tokens(spark, d), Q).count()
+    total = bm25.match(document_index(spark, d), Q).count()
     p = ranking.pagination(total, 501, 20)
     return spark.range(1).select(*[F.lit(v).cast("long" if k in ("total", "total_pages", "ranked_window") else "int").alias(k) for k, v in p.items()])
 
@@ -387,7 +388,7 @@ def deep_page_count(spark: SparkSession, d: str) -> DataFrame:
 def hydrate_preserve_rank(spark: SparkSession, d: str) -> DataFrame:
     from quarry.operators.identity import hydrate
 
-    return hydrate(bm25.top_k(bm25.match(_paper_tokens(spark, d), Q, 1, BOOST), 20), _papers(spark, d, "title", "publication_year"), "paper_key", "title", "publication_year")
+    return hydrate(bm25.top_k(bm25.match(paper_index(spark, d), Q, 1, BOOST), 20), _papers(spark, d, "title", "publication_year"), "paper_key", "title", "publication_year")
 
 
 # --- facets over the match set ---

@@ -9,13 +9,12 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive a query.
 
     Uses the folder named by ``spark.checkpoint.dir``. Only on one machine (tests) a temporary
     folder, removed at the end, stands in for a missing setting; on a cluster that is an error.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -25,4 +24,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="quarry-ckpt-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -122,3 +122,13 @@ def test_browsing_by_slug(spark):
 def test_no_words_with_variants(spark):
     t = bm25.analysed(papers(spark), "paper_key", {"t": "title"})
     assert bm25.match(t, [], variants={"a": "b"}).count() == 0
+
+
+def test_a_stored_index_gives_what_the_texts_give(spark, tmp_path):
+    t = bm25.analysed(papers(spark), "paper_key", {"title": "title", "field": "field_associated"})
+    index = bm25.write_index(t, str(tmp_path / "i"))
+    for words, need, variants in ((["color", "sensor"], 1, {"colour": "color"}), (["soil", "mechanics"], 2, None), (["nothing", "absent"], 1, None), ([], 1, None)):
+        rows = lambda x: sorted((r["doc_id"], round(r["score"], 9)) for r in bm25.match(x, words, need, {"title": 4.0}, variants=variants).collect())  # noqa: B023, E731
+        assert rows(index) == rows(t) == rows(bm25.open_index(spark, str(tmp_path / "i")))
+    empty = bm25.write_index(t.limit(0), str(tmp_path / "e"))
+    assert bm25.match(empty, ["soil"]).count() == 0
