@@ -93,13 +93,13 @@ def typeahead_papers(spark: SparkSession, d: str) -> DataFrame:
 @REG.add(
     "typeahead_authors",
     f"""WITH f AS (SELECT {S.norm('expert_id')} AS expert_id, trim(concat_ws(' ', trim(firstname), trim(lastname))) AS name, coalesce(h_index, 0) AS h, coalesce(citation_count, 0) AS c FROM faculty),
-    x AS (SELECT *, CASE WHEN len(list_filter({S.toks('name')}, lambda t: starts_with(t, 'xenia'))) > 0 THEN 3.0::double ELSE 0.0::double END + CASE WHEN lower(name) = 'xenia' THEN 8.0::double ELSE 0.0::double END
-      + 1.5::double * CASE WHEN len(list_filter({S.toks('name')}, lambda t: levenshtein(t, 'xenia') <= 1 OR t IN ('exnia', 'xneia', 'xeina', 'xenai'))) > 0 THEN 1 ELSE 0 END AS found FROM f)
+    x AS (SELECT *, CASE WHEN len(list_filter({S.toks('name')}, lambda t: starts_with(t, 'boris'))) > 0 THEN 3.0::double ELSE 0.0::double END + CASE WHEN lower(name) = 'boris' THEN 8.0::double ELSE 0.0::double END
+      + 1.5::double * CASE WHEN len(list_filter({S.toks('name')}, lambda t: levenshtein(t, 'boris') <= 1 OR t IN ('obris', 'brois', 'boirs', 'borsi'))) > 0 THEN 1 ELSE 0 END AS found FROM f)
     SELECT row_number() OVER (ORDER BY round(found + log10(1 + 0.3::double * h) + log10(1 + 0.1::double * c), 4) DESC, expert_id) AS rank, expert_id,
       round(found + log10(1 + 0.3::double * h) + log10(1 + 0.1::double * c), 4) AS score, name FROM x WHERE found > 0 ORDER BY rank LIMIT 8""",
 )
 def typeahead_authors(spark: SparkSession, d: str) -> DataFrame:
-    return suggest_authors(table(spark, d, "faculty"), "Xenia")
+    return suggest_authors(table(spark, d, "faculty"), "Boris")
 
 
 # --- browsing by slug ---
