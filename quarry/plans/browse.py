@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.browse import TaxonomyBrowser
+from quarry.browse import NotFound, TaxonomyBrowser
 from quarry.functions.text import with_variants
 from quarry.operators import bm25
 from quarry.plans import sqlparts as S
@@ -105,6 +107,17 @@ def typeahead_authors(spark: SparkSession, d: str) -> DataFrame:
 # --- browsing by slug ---
 
 
+def _rows(spark: SparkSession, ask: Callable[[], DataFrame], columns: str) -> DataFrame:
+    """Rows of a browse. A slug or code that no node of these tables bears has none, as in the SQL; the browser itself raises."""
+    try:
+        return ask()
+    except NotFound:
+        return spark.createDataFrame([], columns)
+
+
+_NODES = "rank int, slug string, name string, paper_count bigint, faculty_count bigint"
+
+
 def _browser(spark: SparkSession, d: str) -> TaxonomyBrowser:
     return TaxonomyBrowser(latest_papers(table(spark, d, "papers"), "classification", "iitd_authors"), *[table(spark, d, n) for n in ("thematic_areas", "domains", "subdomains", "departments")])
 
@@ -119,7 +132,7 @@ def _listed(table_: str, key: str, where: str, more: str = "") -> str:
 
 @REG.add("browse_themes_of_department", _listed("thematic_areas", "thematic_area_id", "c.domain_id IS NULL AND c.subdomain_id IS NULL AND c.department_id = (SELECT id FROM dep)"))
 def browse_themes(spark: SparkSession, d: str) -> DataFrame:
-    return _browser(spark, d).themes(department=" pp01")
+    return _rows(spark, lambda: _browser(spark, d).themes(department=" pp01"), _NODES)
 
 
 @REG.add(
@@ -135,7 +148,7 @@ def browse_domains(spark: SparkSession, d: str) -> DataFrame:
 
 @REG.add("browse_subdomains", _listed("subdomains", "subdomain_id", "c.thematic_area_id IS NULL AND c.department_id IS NULL AND c.domain_id = (SELECT id FROM dom)"))
 def browse_subdomains(spark: SparkSession, d: str) -> DataFrame:
-    return _browser(spark, d).subdomains("applied-photonics-and-slope-design")
+    return _rows(spark, lambda: _browser(spark, d).subdomains("applied-photonics-and-slope-design"), _NODES)
 
 
 @REG.add(
@@ -144,4 +157,4 @@ def browse_subdomains(spark: SparkSession, d: str) -> DataFrame:
     SELECT * FROM (SELECT row_number() OVER (ORDER BY papers DESC, kerberos) AS rank, kerberos, papers FROM m) WHERE rank <= 20""",
 )
 def browse_faculty_page(spark: SparkSession, d: str) -> DataFrame:
-    return _browser(spark, d).faculty(domain="applied-photonics-and-slope-design")[0]
+    return _rows(spark, lambda: _browser(spark, d).faculty(domain="applied-photonics-and-slope-design")[0], "rank int, kerberos string, papers bigint")
