@@ -48,7 +48,7 @@ WORDS_A_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 20_000, 8, 256
 LONGEST = 40
 #: A surname from this length on may have gained or lost a particle.
 LONG = 8
-#: Longest author list whose members keep each other company.
+#: Longest author list that each of its members carries along; of longer ones they carry the name. At least two.
 CREW = 100
 #: Pairs of keys of two signatures, and papers of a key, up to which company is compared as lists.
 FEW, CROWD = 1024, 10_000
@@ -629,16 +629,39 @@ def linked_keys(faculty: DataFrame, papers: DataFrame, radius: int = RADIUS, evi
 
 
 def company(faculty: DataFrame, crews: DataFrame) -> DataFrame:
-    """``node, xs``: the company of a key as 64-bit hashes, in several rows, the key itself among them.
+    """``node, xs, crew``: the company of a key as 64-bit hashes, in several rows, the key itself among them.
 
-    Co-authors (of papers with at most ``CREW`` authors: a longer list tells
-    nothing about who knows whom) and the staff a paper names; both not negative. Profiles
+    Co-authors and the staff a paper names; both not negative. Of a list with more than ``CREW`` authors, which would
+    take the square of its length, ``crew`` is the name and :func:`crew_links` finds what its members share. Profiles
     keep the company of their department, which is negative.
     """
-    beside = F.when(F.size("authors") <= CREW, F.concat("authors", "staff")).otherwise(F.col("staff"))
-    crew = crews.where("size(authors) > 1 OR size(staff) > 0").select(F.explode("authors").alias("node"), beside.alias("xs"))
+    long = F.size("authors") > CREW
+    beside = F.when(long, F.col("staff")).otherwise(F.concat("authors", "staff"))
+    crew = crews.where("size(authors) > 1 OR size(staff) > 0").select(F.explode("authors").alias("node"), beside.alias("xs"), F.when(long, F.xxhash64(F.array_sort("authors"))).alias("crew"))
     dept = faculty.select(_node_of(norm_key("expert_id")).alias("node"), (-1 - _staff_node("d", norm_key("department"))).alias("x")).where("node IS NOT NULL AND x IS NOT NULL")
-    return crew.unionByName(dept.select("node", F.array("x").alias("xs")))
+    return crew.unionByName(dept.select("node", F.array("x").alias("xs"), F.lit(None).cast("long").alias("crew")))
+
+
+def crew_links(two: DataFrame, lists: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``two`` that share a companion whom at least one of them met in a ``long`` list of authors (``node, crew``).
+
+    ``lists`` (``node, xs``) is all other company. The companion is neither of the two, so of what crews and lists have in
+    common a few members tell. Long lists stay apart from the keys, so one costs its length, not the square.
+    """
+    member = lambda node, crew="crew": long.select(F.col("node").alias(node), F.col("crew").alias(crew))
+    met = checkpoint(_both_ways(two, "a", "b").join(member("a"), "a").distinct())
+    # a long list of both has a third
+    same = met.join(member("b"), ["b", "crew"]).select("a", "b")
+    told = met.select("b", "crew").distinct().join(lists.select(F.col("node").alias("b"), F.explode("xs").alias("x")), "b").join(member("x"), ["x", "crew"])
+    told = told.groupBy("b", "crew").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    listed = met.join(told, ["b", "crew"]).where("lo <> a OR hi <> a").select("a", "b")
+    both = met.where("a < b").join(member("b", "crew2"), "b").where("crew <> crew2").select("a", "b", F.least("crew", "crew2").alias("c1"), F.greatest("crew", "crew2").alias("c2"))
+    both = checkpoint(both.distinct())
+    common = both.select("c1", "c2").distinct().join(member("x", "c1"), "c1").join(member("x", "c2"), ["c2", "x"])
+    common = common.groupBy("c1", "c2").agg(F.slice(F.array_sort(F.collect_set("x")), 1, 3).alias("xs"))
+    third = both.join(common, ["c1", "c2"]).where(F.exists("xs", lambda x: (x != F.col("a")) & (x != F.col("b")))).select("a", "b")
+    every = same.unionByName(listed).unionByName(third)
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def company_links(sigs: DataFrame, pairs: DataFrame, kept: DataFrame, seen: DataFrame, few: int = FEW) -> DataFrame:
@@ -663,11 +686,19 @@ def company_links(sigs: DataFrame, pairs: DataFrame, kept: DataFrame, seen: Data
     near = lambda c: F.when(F.col("tier") < LOOSE, F.col(c)).otherwise(F.filter(c, lambda x: x >= 0))
     met = two.join(lists.select(F.col("node").alias("a"), F.col("xs").alias("xa")), "a").join(lists.select(F.col("node").alias("b"), F.col("xs").alias("xb")), "b")
     met = met.where(F.arrays_overlap(near("xa"), "xb")).select("a", "b")
+    long = kept.where("crew IS NOT NULL").select("node", "crew")
+    crowded = not long.isEmpty()
+    if crowded:
+        long = checkpoint(long.distinct())
+        met = met.unionByName(crew_links(two, lists, long))
     heavy = every.where(~light)
     if heavy.isEmpty():
         return met
     need = of.join(heavy.select(F.col("sig1").alias("sig")).union(heavy.select("sig2")).distinct(), "sig")
-    at = need.join(kept, "node").select("sig", "node", F.explode("xs").alias("x")).where("x <> node")
+    at = need.join(kept, "node").select("sig", "node", F.explode("xs").alias("x"))
+    if crowded:
+        at = at.unionByName(need.join(long, "node").join(long.select(F.col("node").alias("x"), "crew"), "crew").select("sig", "node", "x"))
+    at = at.where("x <> node")
     lo = checkpoint(at.groupBy("sig", "x").agg(F.min("node").alias("lo"), F.max("node").alias("hi")))
     chain = at.join(lo.where("lo <> hi").select("sig", "x", "lo"), ["sig", "x"]).select(F.col("lo").alias("a"), F.col("node").alias("b"))
     across = heavy.where("sig1 <> sig2").join(lo.select(F.col("sig").alias("sig1"), "x", F.col("lo").alias("a")), "sig1").join(lo.select(F.col("sig").alias("sig2"), "x", F.col("lo").alias("b")), ["sig2", "x"])

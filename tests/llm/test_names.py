@@ -227,3 +227,31 @@ def test_company_by_lists_and_by_rows_give_the_same_components(spark):
         got.append({(r["node"], r["component"]) for r in N.connected_components(links).collect()})
     label = [{n: min(m for m, d in g if d == c) for n, c in g} for g in got]
     assert label[0] == label[1] and len(set(label[0].values())) > 0
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_long_author_lists_tell_company_too(spark, monkeypatch, few):
+    rnd = random.Random(6)
+    names = ["Emeka Marushnathu", "E. Marushnathu", "Zoe Ulanbel", "Tara Pruavi", "Kim Xander"]
+    # an author has one name; a third stands alone on a second paper with few others
+    papers_ = [[f"a{i:02}" for i in sorted({rnd.randrange(60) for _ in range(rnd.choice((1, 2, 3, 5)))})] for _ in range(45)]
+    rows = [(f"p{n}", None, [(i, names[int(i[1:]) % 5], []) for i in crew], None) for n, crew in enumerate(papers_)]
+    papers, fac = spark.createDataFrame(rows, PAPERS), spark.createDataFrame([], FACULTY)
+    prof = N.profile_names(fac)
+    crews = N.checkpoint(N.paper_crews(papers, prof))
+    seen = N.papers_in_company(crews, crews.select("p", N.F.explode("staff").alias("b"), "authors"), prof)
+    sigs = N.checkpoint(N.name_rows(fac, papers).select(N._node("key").alias("node"), N.F.xxhash64("raw").alias("sig")).distinct())
+    one, two = spark.range(1).select(*[N.F.xxhash64(N.F.lit(n)) for n in names[:2]]).first()
+    pairs = spark.createDataFrame([(one, two, 1), (two, one, 1)], "sig1 long, sig2 long, tier int")
+    node = {r["key"]: r["node"] for r in spark.createDataFrame([(f"a{i:02}",) for i in range(60)], "key string").select("key", N._node("key").alias("node")).collect()}
+    met = {i: {j for crew in papers_ if i in crew for j in crew if i != j} for i in node}
+    fits = lambda a, b: a % 5 == b % 5 or {a % 5, b % 5} == {0, 1}
+    want = {tuple(sorted((node[a], node[b]))) for a in node for b in node if a < b and fits(int(a[1:]), int(b[1:])) and met[a] & met[b]}
+    got = []
+    for most in (100, 3, 2):
+        monkeypatch.setattr(N, "CREW", most)
+        links = N.company_links(sigs, pairs, N.company(fac, crews), seen, few)
+        if few:
+            assert {(r["a"], r["b"]) for r in links.collect()} == want
+        got.append({(r["node"], r["component"]) for r in N.connected_components(links).collect()})
+    assert got[0] and got[0] == got[1] == got[2]
