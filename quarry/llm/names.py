@@ -312,7 +312,8 @@ def radius_join(words: DataFrame, group: str, word: str, radius: int = RADIUS, p
     pivot p (ties: first pivot). A partner y of a word x with home p lies within
     ``d(y, p) <= d(x, p) + radius`` and, as p is nearest to x, within the nearest
     pivot distance of y plus twice the radius; y is copied to the cells where
-    both hold, the first with the largest home distance of that cell. Cells with
+    both hold, the first with the largest home distance of that cell. As both words
+    of a pair reach the other's cell, only one of the two cells gets the copies. Cells with
     many home words are cut into blocks that each see the copies. Pivots are a
     seeded sample of bounded size. Pairs with a word longer than ``LONGEST`` come from :func:`long_pairs`.
     """
@@ -335,8 +336,10 @@ def radius_join(words: DataFrame, group: str, word: str, radius: int = RADIUS, p
     # one number per pivot
     reach = {r["home"]: r["m"] for r in placed.groupBy("home").agg(F.max("near").alias("m")).collect()}
     limits = F.array(*[F.lit(int(reach.get(i, -10 * radius - LONGEST)) + radius) for i in range(len(chosen))])
+    # of two cells the one of the lower number has their pairs if the sum is odd, else the other
+    mine = lambda i: (i == F.col("home")) | (((i + F.col("home")) % 2 == 1) == (i < F.col("home")))
     cells = F.filter(
-        F.transform("dv", lambda d, i: F.when((d <= F.col("near") + 2 * radius) & (d <= F.element_at(limits, i + 1)), i)), lambda i: i.isNotNull()
+        F.transform("dv", lambda d, i: F.when((d <= F.col("near") + 2 * radius) & (d <= F.element_at(limits, i + 1)) & mine(i), i)), lambda i: i.isNotNull()
     )
     rows = distinct.join(placed.select("w", "home", cells.alias("cells")), "w")
     homes = rows.groupBy("g", "home").agg(F.count(F.lit(1)).alias("n"))
@@ -346,15 +349,14 @@ def radius_join(words: DataFrame, group: str, word: str, radius: int = RADIUS, p
     copies = copies.select("g", "w", (F.col("home") == F.col("cell")).alias("at_home"), "cell", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        ys = pdf["w"].to_numpy().astype(str)
-        xs = ys[(pdf["at_home"] & (pdf["own"] == pdf["block"])).to_numpy()]
-        found = cell_join(xs, ys, radius)
+        ys, home = pdf["w"].to_numpy().astype(str), pdf["at_home"].to_numpy()
+        found = cell_join(ys, home & (pdf["own"] == pdf["block"]).to_numpy(), home, radius)
         group = [pdf["g"].iat[0]] * len(found[2])
         return pd.DataFrame({"g": np.array(group, dtype=object), "x": np.array(found[0], dtype=object), "y": np.array(found[1], dtype=object), "d": np.array(found[2], dtype=np.int32)}).astype({c: object for c in ("g", "x", "y")})
 
     # cells are small in bytes and costly to join, so they are spread before the engine can put them together
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(tasks, "g", "cell", "block").groupBy("g", "cell", "block").applyInPandas(join, schema).distinct().unionByName(long_pairs(every, radius))
+    return copies.repartition(tasks, "g", "cell", "block").groupBy("g", "cell", "block").applyInPandas(join, schema).unionByName(long_pairs(every, radius))
 
 
 def long_pairs(words: DataFrame, radius: int) -> DataFrame:
@@ -381,60 +383,71 @@ def _bags(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([counts > k for k in range(levels)], axis=1).astype(np.float32)
 
 
-def pair_distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Levenshtein distance of row k of ``a`` to row k of ``b`` for all k at once."""
-    n, wide = len(a), b.shape[1]
-    out = np.zeros(n, dtype=np.int16)
-    prev = np.tile(np.arange(wide + 1, dtype=np.int16)[:, None], (1, n))
-    every = np.arange(n)
-    out[la == 0] = lb[la == 0]
-    for i in range(1, a.shape[1] + 1):
-        cur = np.empty_like(prev)
-        cur[0] = i
-        for j in range(1, wide + 1):
-            cur[j] = np.minimum(np.minimum(prev[j], cur[j - 1]) + 1, prev[j - 1] + (a[:, i - 1] != b[:, j - 1]))
-        prev = cur
-        end = la == i
-        out[end] = prev[lb[end], every[end]]
+def pair_distances(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, radius: int) -> np.ndarray:
+    """Levenshtein distance of row k of ``a`` to row k of ``b`` for all k at once, ``radius + 1`` where it is larger.
+
+    Only the cells within ``radius`` of the diagonal can hold a distance within it.
+    """
+    n = len(a)
+    far = np.full(n, radius + 1, dtype=np.int8)
+    out = far.copy()
+    if not n:
+        return out
+    longest, wide = int(la.max()), int(lb.max())
+    a, b = np.ascontiguousarray(a[:, :longest].T), np.ascontiguousarray(b[:, :wide].T)
+    ends = set(la.tolist())
+    prev = {j: np.full(n, j, dtype=np.int8) for j in range(min(radius, wide) + 1)}
+    for i in range(longest + 1):
+        if i:
+            cur = {0: np.full(n, i, dtype=np.int8)} if i <= radius else {}
+            for j in range(max(1, i - radius), min(wide, i + radius) + 1):
+                step = np.minimum(prev.get(j, far), cur.get(j - 1, far))
+                step += 1
+                cur[j] = np.minimum(step, prev.get(j - 1, far) + (a[i - 1] != b[j - 1]), out=step)
+            prev = cur
+        if i in ends:
+            for j, d in prev.items():
+                at = (la == i) & (lb == j)
+                out[at] = np.minimum(d[at], radius + 1)
     return out
 
 
-def cell_join(xs: np.ndarray, ys: np.ndarray, radius: int) -> tuple[list[str], list[str], list[int]]:
-    """All pairs of ``xs`` and ``ys`` within ``radius`` edits, the lesser word first.
+def cell_join(ys: np.ndarray, first: np.ndarray, home: np.ndarray, radius: int) -> tuple[list[str], list[str], list[int]]:
+    """Pairs within ``radius`` edits of a word in ``first`` and any other, the lesser word first; of two words at ``home`` the lesser must be in ``first``.
 
-    An edit changes the letter counts by two at most, so pairs whose counts
-    differ by more than twice the radius are ruled out before the metric.
+    ``first`` is part of ``home``. An edit takes one letter at most from a word and gives it one, so neither word of a pair has more than
+    ``radius`` letters that the other lacks; the others are ruled out before the metric.
     """
     out: tuple[list[str], list[str], list[int]] = ([], [], [])
-    if not len(xs) or not len(ys):
+    if not first.any():
         return out
-    xs, ys = xs[np.argsort(np.char.str_len(xs), kind="stable")], ys[np.argsort(np.char.str_len(ys), kind="stable")]
-    a, la = _codes(xs)
-    b, lb = _codes(ys)
-    bag_a, bag_b = _bags(a), _bags(b)
-    # letters beyond the fourth of a kind are not marked; such words are compared by the marks only, which rules out less
-    size_a, size_b = bag_a.sum(axis=1), bag_b.sum(axis=1)
-    for at in range(0, len(xs), 512):
-        end = min(at + 512, len(xs))
-        lo, hi = np.searchsorted(lb, la[at] - radius), np.searchsorted(lb, la[end - 1] + radius, side="right")
-        for to in range(lo, hi, 8192):
-            upto = min(to + 8192, hi)
-            gap = bag_a[at:end] @ bag_b[to:upto].T
-            gap *= -2
-            gap += size_a[at:end, None]
-            gap += size_b[None, to:upto]
-            i, j = np.nonzero(gap <= 2 * radius)
-            i, j = i + at, j + to
-            keep = (xs[i] != ys[j]) & (np.abs(la[i] - lb[j]) <= radius)
-            i, j = i[keep], j[keep]
-            for p in range(0, len(i), 65536):
-                k, m = i[p : p + 65536], j[p : p + 65536]
-                d = pair_distances(a[k], la[k], b[m], lb[m])
-                for t in np.flatnonzero(d <= radius):
-                    x, y = sorted((str(xs[k[t]]), str(ys[m[t]])))
-                    out[0].append(x)
-                    out[1].append(y)
-                    out[2].append(int(d[t]))
+    order = np.argsort(ys, kind="stable")
+    ys, first, home = ys[order], first[order], home[order]
+    codes, lengths = _codes(ys)
+    # letters beyond the fourth of a kind are not marked, which rules out less
+    bags = _bags(codes)
+    sizes = bags.sum(axis=1).astype(np.int64)
+    bags = bags[:, bags[first].any(axis=0)]
+    by_size = {n: np.flatnonzero(sizes == n) for n in np.unique(sizes).tolist()}
+    for n, every in by_size.items():
+        xs = every[first[every]]
+        for at in range(0, len(xs), 512):
+            x = xs[at : at + 512]
+            for m in range(n - radius, n + radius + 1):
+                near = by_size.get(m, xs[:0])
+                for to in range(0, len(near), 4096):
+                    y = near[to : to + 4096]
+                    i, j = np.divmod(np.flatnonzero(bags[x] @ bags[y].T >= max(n, m) - radius), len(y))
+                    i, j = x[i], y[j]
+                    keep = ~(home[j] & (i >= j)) & (np.abs(lengths[i] - lengths[j]) <= radius)
+                    i, j = i[keep], j[keep]
+                    for p in range(0, len(i), 65536):
+                        u, v = i[p : p + 65536], j[p : p + 65536]
+                        d = pair_distances(codes[u], lengths[u], codes[v], lengths[v], radius)
+                        u, v, d = u[d <= radius], v[d <= radius], d[d <= radius]
+                        out[0].extend(ys[np.minimum(u, v)].tolist())
+                        out[1].extend(ys[np.maximum(u, v)].tolist())
+                        out[2].extend(d.tolist())
     return out
 
 

@@ -255,3 +255,16 @@ def test_long_author_lists_tell_company_too(spark, monkeypatch, few):
             assert {(r["a"], r["b"]) for r in links.collect()} == want
         got.append({(r["node"], r["component"]) for r in N.connected_components(links).collect()})
     assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_a_cell_gives_each_pair_once():
+    ws = sorted(set(words(8, 120)) | {"aaaaaaab", "aaaaaaaab", "a"})
+    ys = N.np.array(ws)
+    home = N.np.array([len(w) % 3 > 0 for w in ws])
+    got = []
+    # two blocks of the home words
+    for block in (0, 1):
+        first = home & (N.np.arange(len(ws)) % 2 == block)
+        got += list(zip(*N.cell_join(ys, first, home, 2), strict=True))
+    at_home = dict(zip(ws, home.tolist(), strict=True))
+    assert sorted(got) == sorted((x, y, lev(x, y)) for x in ws for y in ws if x < y and (at_home[x] or at_home[y]) and lev(x, y) <= 2)
